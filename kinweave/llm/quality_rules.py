@@ -182,20 +182,24 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-with w as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
+with w as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
 m as (
   select doc_id, text, words, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
 grams as (
   select doc_id, k, pos, count(*) over (partition by doc_id, k, gram) as times
-  from (select doc_id, k, unnest(range(1, n_words - k + 2)) as pos, words, n_words from m, (values (3), ({LEAST}), ({LONGEST + 1})) t(k) where n_words >= k) p,
-  lateral (select array_to_string(words[pos:pos + k - 1], ' ') as gram)),
-hit as (select distinct doc_id, k, pos + j as word from (select doc_id, k, pos, unnest(range(0, case when k > {LEAST} then 1 else k end)) as j from grams where times > 1)),
-c as (select doc_id, count(*) filter (where k = 3) as n_repeat_words, count(*) filter (where k = {LEAST}) as n_covered_words, count(*) filter (where k > {LEAST}) as over from hit group by doc_id),
+  from (select doc_id, k, pos, hash(words[pos:pos + k - 1]) as gram from (select doc_id, k, unnest(range(1, n_words - k + 2)) as pos, words from m, (values (3), ({LEAST})) t(k) where n_words >= k))),
+hit as (select distinct doc_id, k, pos + j as word from (select doc_id, k, pos, unnest(range(0, k)) as j from grams where times > 1)),
+c as (select doc_id, count(*) filter (where k = 3) as n_repeat_words, count(*) filter (where k = {LEAST}) as n_covered_words from hit group by doc_id),
+longer as (
+  select doc_id, count(*) as over from (
+    select doc_id, count(*) over (partition by doc_id, gram) as times
+    from (select doc_id, hash(words[pos:pos + {LONGEST}]) as gram from (select doc_id, unnest(range(1, n_words - {LONGEST} + 1)) as pos, words from m join c using (doc_id) where n_covered_words > {LONGEST})))
+  where times > 1 group by doc_id),
 j as (
   select m.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
-    coalesce(n_covered_words, 0) as n_covered_words, coalesce(over, 0) as over from m left join c using (doc_id))
+    coalesce(n_covered_words, 0) as n_covered_words, coalesce(over, 0) as over from m left join c using (doc_id) left join longer using (doc_id))
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
   cast(n_repeat_words as bigint) as n_repeat_words, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words as base_failed,
   cast(n_covered_words as bigint) as n_covered_words,
