@@ -211,7 +211,7 @@ u as (select min(k) as k from c where w * (remaining / open_w) < 2 * source_size
 t as (
   select c.source, c.source_size, cast(case when u.k is null or c.k < u.k then 2 * c.source_size else c.w * (x.remaining / x.open_w) end as double) as target
   from c cross join u left join c x on x.k = u.k),
-p as (select *, case when source_size > 0 then floor(target) // source_size else 0 end as whole_copies, case when source_size > 0 then cast(floor(target) as bigint) % source_size else 0 end as rest from t),
+p as (select *, case when source_size > 0 then cast(floor(target) as bigint) // source_size else 0 end as whole_copies, case when source_size > 0 then cast(floor(target) as bigint) % source_size else 0 end as rest from t),
 o as (
   select d.doc_id, d.size, p.source_size, p.target, p.whole_copies, d.ord, d.source, p.rest,
     sum(d.size) over (partition by d.source order by d.ord range between unbounded preceding and current row) - d.size / 2.0 as upto

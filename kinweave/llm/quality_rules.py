@@ -170,7 +170,7 @@ def judge(docs: DataFrame, least: int = LEAST, cover: int = COVER_PERCENT, longe
     rows = docs.selectExpr(*(f"`{c}` as {h}" for c, h in hidden.items()), *([] if "text" in rest else ["text"]))
     schema = ", ".join([*(f"{h} {kinds[c]}" for c, h in hidden.items()), _COLUMNS])
     out = rows.mapInArrow(partial(_judge, least=least, cover=cover, longest=longest, rest=list(hidden.values())), schema)
-    own = {c.split()[0] for c in _COLUMNS.split(", ")}
+    own = [c.split()[0] for c in _COLUMNS.split(", ")]
     return out.selectExpr(*(f"{h} as `{c}`" for c, h in hidden.items() if c not in own), *own)
 
 

@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, inner: int = INNER) ->
     kinds = dict(joined.dtypes)
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"{h} {kinds[h]}" for h in hidden.values()), *(f"{n} {t}" for n, t in _CUT)])
     out = joined.mapInArrow(_cut, schema)
-    own = {n for n, _ in _CUT}
+    own = [n for n, _ in _CUT]
     return out.select("doc_id", *(F.col(h).alias(c) for c, h in hidden.items() if c not in own), *own)
 
 
