@@ -57,13 +57,13 @@ def _common(a: Column, b: Column, scale: int, least: int) -> tuple[Column, Colum
 def likeness(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """Estimated Jaccard similarity of two sketches."""
     both, n_a, n_b = _common(a, b, scale, least)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.coalesce(both / (n_a + n_b - both), F.lit(0.0)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.coalesce(F.try_divide(both, n_a + n_b - both), F.lit(0.0)))
 
 
 def containment(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """Estimated share of a's shingles that b has too."""
     both, n_a, _ = _common(a, b, scale, least)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.coalesce(both / n_a, F.lit(0.0)))
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.coalesce(F.try_divide(both, n_a), F.lit(0.0)))
 
 
 def merged(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
