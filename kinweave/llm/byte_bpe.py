@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from kinweave.llm.common import prepare, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MOST_STATES = 300_000
-MOST_PIECES = 600_000
+MOST_STATES = 700_000
+MOST_PIECES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +54,8 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+_NEVER = 1 << 60
+_MOST_PAIRS = 1_000_000
 _BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -79,7 +81,9 @@ class Transducer:
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.most_states, self.most_pieces = most_states, most_pieces
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.own: dict[int, bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}  
         self.states: dict[tuple[int | None, bytes], _State] = {}
         self._restart()
@@ -95,13 +99,54 @@ class Transducer:
             self.own[token] = merge_bytes(self.bytes_of[token], self.ranks) == [token]
         return self.own[token]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; None for a byte."""
+        data = self.bytes_of[token]
+        parts = [self.ranks[data[i : i + 1]] for i in range(len(data))]
+        while len(parts) > 2:
+            best = min((self.ranks.get(self.bytes_of[x] + self.bytes_of[y], _NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            parts[best[1] : best[1] + 2] = [best[0]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """(token, made at, used up at) of the tokens at one edge while the merges of token go on; ranks are times."""
+        edge = self.edges[side].get(token)
+        if edge is None:
+            edge, until, part = [], _NEVER, token
+            while True:
+                halves = self._halves(part)
+                edge.append((part, part if halves else -1, until))
+                if halves is None:
+                    break
+                until, part = part, halves[side]
+            self.edges[side][token] = edge
+        return edge
+
     def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of a and b gives a and b again.
+
+        It does unless a token at a's right edge and one at b's left edge merge while
+        both are there: before either is used up, and at equal rank the left one goes first.
+        """
         key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > 4 * self.most_pieces:
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > _MOST_PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = merge_bytes(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
-        return self.pairs[key]
+            known = True
+            rights = self._edge(b, 0)
+            for x, made_x, until_x in self._edge(a, 1):
+                data = self.bytes_of[x]
+                for y, made_y, until_y in rights:
+                    if made_x < until_y and made_y < until_x:
+                        rank = self.ranks.get(data + self.bytes_of[y])
+                        if rank is not None and rank < until_x and rank <= until_y:
+                            known = False
+                            break
+                if not known:
+                    break
+            self.pairs[key] = known
+        return known
 
     def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
         """A new transition."""
@@ -155,21 +200,23 @@ class Transducer:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        known = self.pieces
+        """Tokens of text. Pieces are remembered in two tables; the older one is dropped when the newer is full."""
         parts = self.pattern.findall(text)
-        found = list(map(known.get, parts))
-        if None in found:
-            for i, tokens in enumerate(found):
+        found = list(map(self.pieces.get, parts))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            part = parts[at]
+            tokens = self.pieces.get(part)
+            if tokens is None:
+                tokens = self.older.get(part)
                 if tokens is None:
-                    part = parts[i]
-                    tokens = known.get(part)
-                    if tokens is None:
-                        tokens = self.piece(part.encode())
-                        if len(part) <= 64:
-                            if len(known) >= self.most_pieces:
-                                known.clear()
-                            known[part] = tokens
-                    found[i] = tokens
+                    tokens = self.piece(part.encode())
+                if len(part) <= 64:
+                    if len(self.pieces) >= self.most_pieces:
+                        self.older, self.pieces = self.pieces, {}
+                    self.pieces[part] = tokens
+            found[at] = tokens
         return list(chain.from_iterable(found))
 
 
