@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from kinweave.llm.common import prepare, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MOST_STATES = 700_000
-MOST_PIECES = 500_000
+MOST_STATES = 600_000
+MOST_PIECES = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
