@@ -38,7 +38,11 @@ from kinweave.llm.textbatch import Texts, slices, string_buffers
 LENGTH = 50
 INNER = 20
 #: Bytes of text whose stretches a task merges before it sends them on.
-MERGE_BYTES = 24 << 20
+MERGE_BYTES = 8 << 20
+#: Bytes of text handled at once: the arrays for them take some hundred times as much.
+PART_BYTES = 1 << 18
+#: Rows whose texts are cut together.
+CUT_ROWS = 500
 #: Bytes of differing stretches sorted together.
 SORT_BYTES = 1 << 18
 _LOW = np.uint64((1 << 28) - 1)
@@ -129,7 +133,7 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, inner: int, buckets: i
     size = 0
     for batch in batches:
         ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for row, end, texts in slices(batch, "text"):
+        for row, end, texts in slices(batch, "text", PART_BYTES):
             for part, base, owner_row in _within(texts, length):
                 owner, first, last, anchor, whole_hash = stretches(part, length, inner)
                 row_of = row + (owner if owner_row is None else owner_row)
@@ -142,7 +146,7 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, inner: int, buckets: i
     yield from _merged(held, length, buckets)
 
 
-def _within(texts: Texts, length: int, most: int = 1 << 22):
+def _within(texts: Texts, length: int, most: int = PART_BYTES):
     """(texts, start in the document, row or None): one long text is cut into parts that overlap."""
     if len(texts.data) <= most or len(texts) > 1:
         yield texts, 0, None
@@ -246,7 +250,7 @@ _READ = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", p
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches asked for."""
-    for batch in batches:
+    for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
         data, at = string_buffers(batch.column(2))
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[list] = [[], [], [], [], []]
@@ -332,7 +336,7 @@ _CUT = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
         names = batch.schema.names
         data, at = string_buffers(batch.column(names.index("text")))
         rows = []
