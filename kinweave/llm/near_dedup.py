@@ -38,8 +38,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
+#: Components of a signature; the bands use the first BANDS * ROWS, estimates use all.
+COMPONENTS = 384
 #: Standard errors below the threshold at which a signature estimate still asks for verification.
-MARGIN = 5.0
+MARGIN = 3.5
 BLOCK = 512
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +85,7 @@ def signatures(hashes: np.ndarray, owners: np.ndarray, weights: np.ndarray, n_te
     return out.reshape(n_texts, m)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    m = bands * rows
+def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, m: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, texts in slices(batch, "text"):
             hashes, owners, times = weighted_shingles(texts, size)
@@ -93,10 +94,10 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -
             has = np.bincount(owners, minlength=n) > 0
             code = np.zeros((n, bands), np.uint64)
             for r in range(rows):
-                code = mix(code * _G + sig[:, r::rows][:, :bands])
+                code = mix(code * _G + sig[:, r : bands * rows : rows])
             code = code + np.arange(bands, dtype=np.uint64) * _G
             part = batch.slice(row, end - row)
-            short = mix(sig).astype(np.uint16)
+            short = mix(sig).astype(np.uint8)
             keys = pa.array([c.tolist() if h else [] for c, h in zip(mix(code).astype(np.int64), has)], pa.list_(pa.int64()))
             yield pa.record_batch([part.column(0), part.column(1), keys, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "copy_key", "bands", "signature"])
 
@@ -189,16 +190,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = pa.Table.from_batches(held)
-    sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(t.num_rows, -1)
+    sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(t.num_rows, -1)
     return t.column(1).to_numpy(), t.column(2).to_numpy(), sig
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, m: int = COMPONENTS) -> DataFrame:
     """(doc_id, class_id): one row a row of docs; class_id is the smallest doc_id of the class."""
     spark = prepare(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     copy_key = F.md5(F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit("")))
-    signed = texts.select("doc_id", copy_key.alias("copy_key"), "text").mapInArrow(partial(_sign, size=size, bands=bands, rows=rows), "doc_id long, copy_key string, bands array<long>, signature binary")
+    signed = texts.select("doc_id", copy_key.alias("copy_key"), "text").mapInArrow(partial(_sign, size=size, bands=bands, rows=rows, m=max(m, bands * rows)), "doc_id long, copy_key string, bands array<long>, signature binary")
     signed = kept(signed, "signatures")
     # equal texts go on as the smallest id
     copies = kept(signed.select("doc_id", "copy_key").join(signed.groupBy("copy_key").agg(F.min("doc_id").alias("first_id")), "copy_key").select("doc_id", "first_id"), "copies")
@@ -217,8 +218,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, ba
     placed = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
     rest = placed.join(split, "key", "left_semi").join(single.select("doc_id", "signature"), "doc_id").select("key", "doc_id", "part", "signature")
-    least = threshold - MARGIN * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    across = rest.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_across, m=bands * rows, least=least), "a long, b long").distinct()
+    m = max(m, bands * rows)
+    least = threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5
+    across = rest.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_across, m=m, least=least), "a long, b long").distinct()
     new_pairs = kept(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = first_links.unionByName(_verified(new_pairs, texts, size, threshold))
     final = components(links).withColumnsRenamed({"node": "first_id", "component": "class_id"})
