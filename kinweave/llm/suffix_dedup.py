@@ -43,6 +43,8 @@ MERGE_BYTES = 8 << 20
 PART_BYTES = 1 << 18
 #: Rows whose texts are cut together.
 CUT_ROWS = 500
+#: Differing stretches compared at once, if no group has more.
+SORT_ROWS = 4000
 #: Bytes of differing stretches sorted together.
 SORT_BYTES = 1 << 18
 _LOW = np.uint64((1 << 28) - 1)
@@ -265,8 +267,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sorted_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 3: spans of the differing stretches that an earlier document shares."""
     table = pa.Table.from_batches(list(batches), _READ)
-    if not table.num_rows:
-        return
+    table = table.take(pa.array(np.argsort(table.column(0).to_numpy(), kind="stable")))
+    group = table.column(0).to_numpy()
+    at = 0
+    while at < len(group):  # SORT_ROWS rows, and the rest of the last group
+        end = int(np.searchsorted(group, group[min(at + SORT_ROWS, len(group)) - 1], "right"))
+        yield from _matched(table.slice(at, end - at), length)
+        at = end
+
+
+def _matched(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     group, doc, key, base = (table.column(k).to_numpy() for k in range(4))
     data, at = string_buffers(table.column(4))
     texts = Texts(data[at[0] : at[-1]], at - at[0])
