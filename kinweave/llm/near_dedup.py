@@ -154,11 +154,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
 
 
 def _across(batches: Iterator[pa.RecordBatch], m: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a bucket whose signatures agree in ``least`` components."""
-    for bucket in _buckets(batches):
-        ids, parts, sig = bucket
+    """Pairs of different components in a bucket whose signatures agree in a share ``least``; each from its first common bucket."""
+    for key, ids, parts, sig, bands in _buckets(batches):
         order = np.argsort(parts, kind="stable")
-        ids, parts, sig = ids[order], parts[order], sig[order]
+        ids, parts, sig, bands = ids[order], parts[order], sig[order], bands[order]
         for i in range(0, len(ids), BLOCK):
             for j in range(i, len(ids), BLOCK):
                 if parts[i] == parts[min(j + BLOCK, len(ids)) - 1]:
@@ -168,30 +167,33 @@ def _across(batches: Iterator[pa.RecordBatch], m: int, least: float) -> Iterator
                     agree += sig[i : i + BLOCK, k][:, None] == sig[j : j + BLOCK, k][None, :]
                 x, y = np.nonzero((agree >= least * m) & (parts[i : i + BLOCK][:, None] != parts[j : j + BLOCK][None, :]))
                 if len(x):
-                    p, q = ids[i + x], ids[j + y]
+                    same = bands[i + x] == bands[j + y]
+                    here = bands[i + x, same.argmax(1)] == key
+                    p, q = ids[i + x][here], ids[j + y][here]
                     yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (key, doc_id, part, signature) ordered by key, a bucket at a time."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (key, doc_id, part, signature, bands) ordered by key, a bucket at a time."""
     key, held = None, []
     for batch in batches:
         keys = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if held and keys[a] != key:
-                yield _joined(held)
+                yield key, *_joined(held)
                 held = []
             key = keys[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield _joined(held)
+        yield key, *_joined(held)
 
 
-def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     t = pa.Table.from_batches(held)
     sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    return t.column(1).to_numpy(), t.column(2).to_numpy(), sig
+    bands = t.column(4).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    return t.column(1).to_numpy(), t.column(2).to_numpy(), sig, bands
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, m: int = COMPONENTS) -> DataFrame:
@@ -217,7 +219,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, ba
     found = kept(components(first_links), "components")
     placed = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    rest = placed.join(split, "key", "left_semi").join(single.select("doc_id", "signature"), "doc_id").select("key", "doc_id", "part", "signature")
+    rest = placed.join(split, "key", "left_semi").join(single.select("doc_id", "signature", "bands"), "doc_id").select("key", "doc_id", "part", "signature", "bands")
     m = max(m, bands * rows)
     least = threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5
     across = rest.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_across, m=m, least=least), "a long, b long").distinct()
