@@ -13,8 +13,15 @@ from kinweave.shared import kept, partitions, scratch  # noqa: F401
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to a Python worker at once, where the session has Spark's default: texts may be long.
+BATCH_ROWS = 500
+_ROWS_SETTING, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import this library from where it lies."""
+    """Lets Python workers on this machine import this library from where it lies; bounds their batches."""
+    if spark.conf.get(_ROWS_SETTING) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
