@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from kinweave.llm.common import prepare, whole
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MOST_STATES = 600_000
-MOST_PIECES = 400_000
+MOST_STATES = 500_000
+MOST_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,24 +55,16 @@ def merge_bytes(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _NEVER = 1 << 60
+_SHIFT = 24
+_MASK = (1 << _SHIFT) - 1
+_NONE = b"\xff\xff\xff"
+_START = _NONE
 _MOST_PAIRS = 1_000_000
+#: A state's key: three bytes of the last emitted token, then the bytes since. Its places: where a token that
+#: reaches further may begin, each followed by the tokens of the bytes before it; the last place is the end.
 _BYTES = [bytes([b]) for b in range(256)]
 
 
-class _State:
-    """before: the last emitted token; pending: the bytes since.
-
-    open: places in pending where a token that reaches further may begin, each with
-    the tokens of the bytes before it; the last place is the end.
-    """
-
-    __slots__ = ("before", "next", "open", "pending")
-
-    def __init__(self, before: int | None, pending: bytes, open_: tuple[tuple[int, tuple[int, ...]], ...]):
-        self.before, self.pending, self.open = before, pending, open_
-        self.next: dict[int, tuple[tuple[int, ...], _State]] = {}
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -85,14 +77,20 @@ class Transducer:
         self.own: dict[int, bool] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}  
-        self.states: dict[tuple[int | None, bytes], _State] = {}
+        self.single: dict[int, tuple[int, ...]] = {}
         self._restart()
 
-    def _restart(self) -> None:
-        for state in self.states.values():
-            state.next.clear()  # they refer to one another
-        self.start = _State(None, b"", ((0, ()),))
-        self.states = {(None, b""): self.start}
+    def _restart(self, key: bytes = _START, places: tuple = (0, ())) -> int:
+        """Empty tables but for the start state, and the state given if another; its number."""
+        self.number: dict[bytes, int] = {_START: 0}
+        self.keys, self.places, self.steps, self.outs, self.out_number = [_START], [(0, ())], {}, [()], {(): 0}
+        return 0 if key == _START else self._state(key, places)
+
+    def _state(self, key: bytes, places: tuple) -> int:
+        self.number[key] = n = len(self.keys)
+        self.keys.append(key)
+        self.places.append(places)
+        return n
 
     def _stands(self, token: int) -> bool:
         if token not in self.own:
@@ -148,34 +146,47 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        """A new transition."""
-        data = state.pending + _BYTES[byte]
-        ranks, prefixes = self.ranks, self.prefixes
+    def _step(self, state: int, byte: int) -> int:
+        """A new transition: the number of the next state, and above _MASK that of what is emitted."""
+        key = self.keys[state]
+        data = key[3:] + _BYTES[byte]
+        ranks, prefixes, places = self.ranks, self.prefixes, self.places[state]
+        emitted = None if key[:3] == _NONE else int.from_bytes(key[:3])
         end: tuple[int, ...] | None = None
-        for i, tokens in state.open:
-            token = ranks.get(data[i:])
-            if token is not None and self._stands(token):
-                before = tokens[-1] if tokens else state.before
-                if before is None or self._may_follow(before, token):
-                    end = (*tokens, token)
-                    break
+        open_: list[tuple[int, tuple[int, ...]]] = []
+        for k in range(0, len(places), 2):
+            i, tokens = places[k], places[k + 1]
+            piece = data[i:]
+            if end is None:
+                token = ranks.get(piece)
+                if token is not None and self._stands(token):
+                    before = tokens[-1] if tokens else emitted
+                    if before is None or self._may_follow(before, token):
+                        end = (*tokens, token)
+            if piece in prefixes:
+                open_.append((i, tokens))
         if end is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        open_ = [x for x in state.open if data[x[0] :] in prefixes]
         first = min([*(x[1] for x in open_), end], key=len)
         same = len(first)
         for _, tokens in (*open_, (0, end)):
             while tokens[:same] != first[:same]:
                 same -= 1
         out = first[:same]
-        keep, before = (sum(map(self.size.__getitem__, out)), out[-1]) if same else (0, state.before)
-        key = (before, data[keep:])
-        target = self.states.get(key)
+        keep = sum(map(self.size.__getitem__, out))
+        key = (out[-1].to_bytes(3) if same else key[:3]) + data[keep:]
+        target = self.number.get(key)
         if target is None:
-            places = tuple((i - keep, tokens[same:]) for i, tokens in (*open_, (len(data), end)))
-            target = self.states[key] = _State(before, key[1], places)
-        step = state.next[byte] = (out, target)
+            flat: list = []
+            for i, tokens in (*open_, (len(data), end)):
+                tokens = tokens[same:]
+                flat += (i - keep, self.single.setdefault(tokens[0], tokens) if len(tokens) == 1 else tokens)
+            target = self._state(key, tuple(flat))
+        n = self.out_number.get(out)
+        if n is None:
+            n = self.out_number[out] = len(self.outs)
+            self.outs.append(out)
+        step = self.steps[state << 8 | byte] = n << _SHIFT | target
         return step
 
     def piece(self, data: bytes) -> tuple[int, ...]:
@@ -183,20 +194,23 @@ class Transducer:
         single = self.ranks.get(data)
         if single is not None:
             return (single,)
-        if len(self.states) > self.most_states:
+        if len(self.keys) > self.most_states:
             self._restart()
-        state, out = self.start, []
+        state, out, get = 0, [], self.steps.get
         for byte in data:
-            step = state.next.get(byte)
+            step = get(state << 8 | byte)
             if step is None:
                 step = self._step(state, byte)
-                if len(self.states) > 2 * self.most_states:  # one very long piece: keep the state, drop the table
-                    self.states = {(None, b""): self.start}
-                    self.start.next.clear()
-            tokens, state = step
-            if tokens:
-                out += tokens
-        out += state.open[-1][1]
+                if len(self.keys) > 2 * self.most_states:  # one very long piece
+                    out += self.outs[step >> _SHIFT]
+                    state = step & _MASK
+                    state = self._restart(self.keys[state], self.places[state])
+                    get = self.steps.get
+                    continue
+            state = step & _MASK
+            if step > _MASK:
+                out += self.outs[step >> _SHIFT]
+        out += self.places[state][-1]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
