@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 
 from kinweave.llm.common import prepare, whole
+from kinweave.llm.textbatch import at_change
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MOST_STATES = 500_000
@@ -313,8 +314,15 @@ def coder(path: str | None, name: str) -> tuple[Transducer, StreamDecoder, dict[
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str | None, name: str) -> Iterator[pa.RecordBatch]:
     machine, decoder, digits = coder(path, name)
-    gc.freeze()  # the tables stay, and make no cycles that are not cut: no use in walking them
-    gc.disable()
+    at_change[:] = [coder.cache_clear]
+    gc.disable()  # the tables make no cycles: no use in walking them again and again
+    try:
+        yield from _digests(batches, machine, decoder, digits)
+    finally:
+        gc.enable()
+
+
+def _digests(batches: Iterator[pa.RecordBatch], machine: Transducer, decoder: StreamDecoder, digits: dict[int, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, ids_sha, text_sha = [], [], []
         for text in batch.column(1):

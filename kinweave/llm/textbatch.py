@@ -7,7 +7,7 @@ the longest single text), never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
 
+#: Called when this worker turns to another operator: they drop large tables kept between tasks.
+at_change: list[Callable[[], None]] = []
+
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -147,6 +150,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """(first row, end row, Texts) over a batch, of about ``most`` bytes each."""
+    while at_change:
+        at_change.pop()()
     data, at = string_buffers(batch.column(batch.schema.get_field_index(column)))
     row, rows = 0, len(at) - 1
     while row < rows:
