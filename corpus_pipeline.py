@@ -43,8 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
-    return byte_bpe.digest(docs)
+    """Token counts and digests of ids and decoded text; smaller tables, as executors still hold earlier stages' heap."""
+    return byte_bpe.digest(docs, most_states=500_000, most_pieces=300_000)
 
 
 STAGES = [("quality rules", quality), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages), ("mixing sources", mixture), ("byte-level BPE", tokens)]

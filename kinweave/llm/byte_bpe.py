@@ -34,8 +34,8 @@ from kinweave.llm.common import prepare, whole
 from kinweave.llm.textbatch import at_change
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MOST_STATES = 500_000
-MOST_PIECES = 300_000
+MOST_STATES = 700_000
+MOST_PIECES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -304,16 +304,16 @@ class StreamDecoder:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str | None, name: str) -> tuple[Transducer, StreamDecoder, dict[int, str]]:
+def coder(path: str | None, name: str, most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES) -> tuple[Transducer, StreamDecoder, dict[int, str]]:
     import public_tokenizers
 
     ranks = load_ranks(path or public_tokenizers.path(name))
-    machine = Transducer(ranks, public_tokenizers.PATTERN)
+    machine = Transducer(ranks, public_tokenizers.PATTERN, most_states, most_pieces)
     return machine, StreamDecoder(machine.bytes_of), {i: str(i) for i in machine.bytes_of}
 
 
-def _digest(batches: Iterator[pa.RecordBatch], path: str | None, name: str) -> Iterator[pa.RecordBatch]:
-    machine, decoder, digits = coder(path, name)
+def _digest(batches: Iterator[pa.RecordBatch], path: str | None, name: str, most_states: int, most_pieces: int) -> Iterator[pa.RecordBatch]:
+    machine, decoder, digits = coder(path, name, most_states, most_pieces)
     at_change[:] = [coder.cache_clear]
     gc.disable()  # the tables make no cycles: no use in walking them again and again
     try:
@@ -334,11 +334,11 @@ def _digests(batches: Iterator[pa.RecordBatch], machine: Transducer, decoder: St
         yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digest(docs: DataFrame, path: str | None = None, name: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+def digest(docs: DataFrame, path: str | None = None, name: str = VOCABULARY, most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text. The two bounds weigh memory against speed only."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(partial(_digest, path=path, name=name), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", whole().alias("text")).mapInArrow(partial(_digest, path=path, name=name, most_states=most_states, most_pieces=most_pieces), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str | None, name: str) -> Iterator[pa.RecordBatch]:
