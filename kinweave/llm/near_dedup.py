@@ -41,7 +41,7 @@ ROWS = 5
 #: Components of a signature; the bands use the first BANDS * ROWS, estimates use all.
 COMPONENTS = 384
 #: Standard errors below the threshold at which a signature estimate still asks for verification.
-MARGIN = 3.5
+MARGIN = 5.0
 BLOCK = 512
 
 _G = np.uint64(0x9E3779B97F4A7C15)
