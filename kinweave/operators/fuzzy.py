@@ -64,21 +64,21 @@ def name_index(people: DataFrame) -> DataFrame:
     return valid.withColumns({"n_b": names.index_count(F.col("given")), "last": names.canonical(F.col("family"))}).withColumn("fn", F.explode(names.first_names(F.col("given")))).drop("given", "family")
 
 
-def candidates(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, block: bool = True) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, block: bool = True, same: tuple[str, ...] = ()) -> DataFrame:
     """Hits of people a in the index of people b, both (event, given, family).
 
     a_event, n_a, src (a's first name), b_event, fn (b's first name), n_b, fn_distance,
     last_distance; first and last name come from one indexed person. a may hold
-    more columns, which are kept.
+    more columns, which are kept; those in same, which b has too, must be equal.
     """
     rest = [c for c in a.columns if c not in ("event", "given", "family")]
     probe = a.filter(names.is_valid(F.col("given"), F.col("family"), F.col("event")))
     probe = probe.select(F.col("event").alias("a_event"), *rest, names.probe_count(F.col("given")).alias("n_a"), names.canonical(F.col("family")).alias("a_last"), F.explode(F.array_distinct(names.first_names(F.col("given")))).alias("src")).filter("src <> ''")
-    index = name_index(b.select("event", "given", "family")).withColumnRenamed("event", "b_event")
+    index = name_index(b.select("event", "given", "family", *same)).withColumnRenamed("event", "b_event")
     pair = pairs_blocked if block else pairs_unblocked
     lasts = pair(probe.select(F.col("a_last").alias("a")), index.select(F.col("last").alias("b")), most, fixed).select(F.col("a").alias("a_last"), F.col("b").alias("last"), F.col("distance").alias("last_distance"))
     firsts = pairs_unblocked(probe.select(F.col("src").alias("a")), index.select(F.col("fn").alias("b")), most, fixed).select(F.col("a").alias("src"), F.col("b").alias("fn"), F.col("distance").alias("fn_distance"))
-    return probe.join(lasts, "a_last").join(firsts, "src").join(index, ["last", "fn"]).select("a_event", *rest, "n_a", "src", "b_event", "fn", "n_b", "fn_distance", "last_distance")
+    return probe.join(lasts, "a_last").join(firsts, "src").join(index, ["last", "fn", *same]).select("a_event", *rest, "n_a", "src", "b_event", "fn", "n_b", "fn_distance", "last_distance")
 
 
 def assigned(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -188,7 +188,7 @@ select 'bm' || i as id1, 'ms' || j as id2, 'B_B-M' as process, a_event, b_event
 
 
 def _person_links(spark, sf_dir):
-    return closure.between_person_links(_links(spark, sf_dir), births(spark, sf_dir), marriages(spark, sf_dir), "B_B-M")
+    return closure.between_person_links(_links(spark, sf_dir), births(spark, sf_dir), marriages(spark, sf_dir), "B_B-M").select("id1", "id2", "process", "a_event", "b_event")
 
 
 @_query(_PERSON_SQL)
