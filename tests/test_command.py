@@ -1,0 +1,43 @@
+import pytest
+
+from kinweave.__main__ import main
+from kinweave.sources import link_files, person_csv
+
+HEAD = "id_person;id_registration;registration_maintype;firstname;prefix;familyname;sex;role;age_year;birth_day;birth_month;birth_year;mar_day;mar_month;mar_year;death_day;death_month;death_year"
+ROWS = [
+    '1;1;1;"kees";;"smit";"m";1;;23;12;1833;0;0;0;0;0;0', '2;1;1;"anna";"de";"laat";"f";2;30;0;0;0;0;0;0;0;0;0', '3;1;1;"bert";;"smit";"m";3;;0;0;0;0;0;0;0;0;0',
+    '4;2;2;"anna";"de";"laat";"f";4;27;0;0;0;1;2;1830;0;0;0', '5;2;2;"bert";;"smit";"m";7;;0;0;0;1;2;1830;0;0;0', '6;3;9;"x";;"";"";12;;1;0;1850;0;0;0;0;0;0',
+]
+
+
+@pytest.fixture
+def people(tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text("\n".join([HEAD, *ROWS]))
+    return str(path)
+
+
+def test_triples(spark, people):
+    got = {(r.s.rsplit("/", 1)[1], r.p.rsplit("/", 1)[1].rsplit("#", 1)[-1], r.o.rsplit("/", 1)[-1]) for r in person_csv.triples(person_csv.read(spark, people)).collect()}
+    assert {x for x in got if x[0] == "e-1"} == {("e-1", "type", "Birth"), ("e-1", "eventDate", "1833-12-23"), ("e-1", "newborn", "p-1"), ("e-1", "mother", "p-2"), ("e-1", "father", "p-3")}
+    assert {x for x in got if x[0] == "p-2"} == {("p-2", "type", "Person"), ("p-2", "givenName", "anna"), ("p-2", "prefixFamilyName", "de"), ("p-2", "familyName", "de laat"), ("p-2", "name", "anna de laat"), ("p-2", "gender", "Female"), ("p-2", "age", "30")}
+    assert {x for x in got if x[0] in ("p-6", "e-3")} == {("p-6", "type", "Person"), ("p-6", "givenName", "x"), ("p-6", "name", "x")}
+
+
+def test_links_and_closure(spark, people, tmp_path):
+    work = str(tmp_path / "work")
+    main(["-wd", work, "-i", people, "-f", "Between_B_M"], spark)
+    (path,) = link_files.found(work)
+    row = spark.read.option("header", True).csv(path).first()
+    assert (row.certificate_A[-3:], row.certificate_B[-3:], row.year_diff) == ("e-1", "e-2", "3")
+    main(["-wd", work, "-f", "closure", "--ordered-ids"], spark)
+    lines = [r.value for r in spark.read.text(f"{work}/closure/results/closureTerms.csv").collect()]
+    ends = sorted(tuple(x[-3:] for x in line.split(",")[1:]) for line in lines)
+    assert ends == [("p-2", "p-4"), ("p-3", "p-5")]
+    main(["-wd", work, "--query", "SELECT ?x WHERE { ?x <https://schema.org/givenName> \"anna\" }"], spark)
+    assert spark.read.option("header", True).csv(f"{work}/query").count() == 2
+
+
+def test_unknown_input(spark, tmp_path):
+    with pytest.raises(ValueError):
+        main(["-wd", str(tmp_path), "-i", "x.hdt"], spark)
