@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
-from kinweave.operators import between, closure, fuzzy, within
-from kinweave.sources import triples
+from kinweave.operators import between, closure, couples, fuzzy, within
+from kinweave.sources import sparql, triples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +181,41 @@ def within_links(spark, sf_dir):
     return out.select("a_event", "b_event", "family_line", "kind", "year_diff")
 
 
+_WEDDINGS = f"""
+with p as (select k, gap, {_name('g', 6, 'k % 97')} as child, {_name('q', 6, 'k % 61')} as other, father, mother, last, maiden from ({_PEOPLE}) as people)
+select 'c' || k as event, k % 9000 as days, child as bg, maiden as bl, {_EDIT.format('mother')} as mg, maiden as ml, father as gg, last as gl, father as fg, last as fl from p
+union all select 'r' || k, k % 9000 + 3650 * gap, case when k % 2 = 0 then child else other end, case when k % 2 = 0 then maiden else {_name('z', 9, 'k')} end,
+  case when k % 2 = 0 then mother end, case when k % 2 = 0 then maiden end, father, {_EDIT.format('last')}, father, last from p
+"""
+
+
+def weddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each groom's marriage, and a later one with the same bride (even keys) or another."""
+    w = spark.sql(_WEDDINGS.replace("from customer", "from {customer}"), customer=_table(spark, sf_dir, "customer"))
+    person = lambda x, sex: _person(f"'{x}' || event", f"{x}g", f"{x}l", f"'{sex}'")
+    none = _person(*["cast(null as string)"] * 4)
+    return w.select("event", F.expr("date_add(date '1840-01-01', days)").alias("event_date"), person("b", "f").alias("subject"), person("g", "m").alias("partner"), none.alias("subject_father"), person("m", "f").alias("subject_mother"), person("f", "m").alias("partner_father"), none.alias("partner_mother"))
+
+
+_COUPLES_SQL = f"""
+with w as (select *, DATE '1840-01-01' + cast(days as integer) as d from ({_WEDDINGS.replace('as string', 'as varchar')}) as weddings),
+x as (
+  select a.event as a_event, b.event as b_event, cast({_PACKED('a.d', 'b.d')} as integer) as year_diff, a.mg is null as no_mother,
+    left(a.bl, 1) = left(b.bl, 1) and {_NEAR('a.bl', 'b.bl')} and {_NEAR('a.bg', 'b.bg')} as s, coalesce(left(a.ml, 1) = left(b.ml, 1) and {_NEAR('a.ml', 'b.ml')} and {_NEAR('a.mg', 'b.mg')}, false) as sm
+  from w a join w b on left(a.gl, 1) = left(b.gl, 1) and left(a.fl, 1) = left(b.fl, 1)
+  where a.event <> b.event and {_NEAR('a.gl', 'b.gl')} and {_NEAR('a.fl', 'b.fl')} and {_NEAR('a.gg', 'b.gg')} and {_NEAR('a.fg', 'b.fg')} and b.d >= a.d)
+select a_event, b_event, 'same_couple' as link, '21' as family_line, 'mother' as kind, year_diff from x where s and sm
+union all select a_event, b_event, 'same_couple', '22', 'father', year_diff from x where s and sm
+union all select a_event, b_event, 'remarriage_groom', '22', 'father', year_diff from x where not (s and (no_mother or sm))
+"""
+
+
+@_query(_COUPLES_SQL)
+def couple_links(spark, sf_dir):
+    w = weddings(spark, sf_dir)
+    return couples.couples(w, w).select("a_event", "b_event", "link", "family_line", "kind", "year_diff")
+
+
 _PERSON_SQL = f"""
 with l as ({_BETWEEN_SQL}), e as (select substr(a_event, 2) as i, substr(b_event, 2) as j, a_event, b_event from l)
 select 'bm' || i as id1, 'ms' || j as id2, 'B_B-M' as process, a_event, b_event from e union all select 'bf' || i, 'mp' || j, 'B_B-M', a_event, b_event from e
@@ -253,3 +288,14 @@ def graph_patterns(spark, sf_dir):
 @_query("select 'urn:Nation' as class, count(*) as n from nation")
 def class_summary(spark, sf_dir):
     return triples.class_counts(_graph(spark, sf_dir))
+
+
+@_query("select 'urn:r' || n_regionkey as region, count(*) as nations, min(n_name) as first_name from nation where n_nationkey % 3 <> 0 group by n_regionkey")
+def graph_query(spark, sf_dir):
+    text = """
+        PREFIX u: <urn:>
+        SELECT ?region (COUNT(?x) AS ?nations) (MIN(?name) AS ?first_name)
+        WHERE { ?x u:in ?region ; u:name ?name ; a u:Nation . OPTIONAL { ?x u:third ?third } FILTER(!BOUND(?third)) }
+        GROUP BY ?region
+    """
+    return sparql.query(_graph(spark, sf_dir), text)
