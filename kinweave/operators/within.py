@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
 from kinweave.operators import fuzzy
+from kinweave.shared import kept
 
 
 def turned(b: DataFrame, gender: str) -> DataFrame:
@@ -48,8 +49,8 @@ def within(a: DataFrame, b: DataFrame, process: str, gender: str, most: int = 4,
     rows = s.join(about_a, "a_event").join(about_b, "b_event")
     numbers = ("lev_total", "lev_max", "matched", "n_a", "n_b")
     if relatives:
-        m = _hits(a, b, "subject_mother", "m", most, fixed, block)
-        f = _hits(a, b, "subject_father", "f", most, fixed, block)
+        m = kept(_hits(a, b, "subject_mother", "m", most, fixed, block), "mother-hits")
+        f = kept(_hits(a, b, "subject_father", "f", most, fixed, block), "father-hits")
         any_m = m.select("a_event").distinct().withColumn("any_m", F.lit(True))
         any_f = f.select("a_event").distinct().withColumn("any_f", F.lit(True))
         rows = rows.join(m, ["a_event", "b_event"], "left").join(f, ["a_event", "b_event"], "left").join(any_m, "a_event", "left").join(any_f, "a_event", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import names
 
+#: Vocabularies of the records (fixed values).
 CIV, SCHEMA = "https://iisg.amsterdam/id/civ/", "https://schema.org/"
 PERSON = "struct<iri:string,given:string,family:string,gender:string,age:int>"
 
