@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
-from kinweave.operators import between, closure, couples, fuzzy, within
+from kinweave.operators import between, closure, couples, fuzzy, summaries, within
 from kinweave.sources import sparql, triples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,3 +299,14 @@ def graph_query(spark, sf_dir):
         GROUP BY ?region
     """
     return sparql.query(_graph(spark, sf_dir), text)
+
+
+@_query(f"with p as ({_PEOPLE_SQL}) select count(*) as total, count(*) filter (where sex = 'f' or sex = 'm') as indexed, count(*) filter (where sex = 'f') as both_parents, count(*) filter (where false) as mother_only, count(*) filter (where sex = 'm') as father_only from p")
+def index_counts(spark, sf_dir):
+    b = births(spark, sf_dir)
+    return summaries.index_summary(b.withColumn("subject_mother", F.when(F.col("subject.gender") == "f", F.col("subject_mother"))))
+
+
+@_query(f"with c as ({_COUPLES_SQL}) select link, family_line, kind, count(*) as n_links from c group by all")
+def link_counts(spark, sf_dir):
+    return summaries.link_summary(couple_links(spark, sf_dir))
