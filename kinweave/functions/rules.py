@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKENS = re.compile(r"\s*(?:(diff)|(-?\d+(?:\.\d+)?)|(<=|>=|==|!=|<|>)|(&&|\|\|)|([()])|(!))")
 
+#: Rules are tried for gaps of so many years.
+_MOST_YEARS = 1000
+
 #: Bounds of the standard rules (fixed values): process, check, condition.
 STANDARD = {
     ("within_b_d", "timegapdiff"): "diff >= 0 && diff <= 110", ("within_b_d", "consistencytolerance"): "diff <= 2",
@@ -20,8 +24,8 @@ STANDARD = {
 }
 
 
-def condition(text: str, diff: Column) -> Column:
-    """A condition as a Column; only numbers, diff, comparisons, &&, ||, ! and brackets are read."""
+def condition(text: str, diff):
+    """A condition over diff, a Column or a numpy array; only numbers, diff, comparisons, &&, ||, ! and brackets are read."""
     sql, at = [], 0
     text = text.strip().rstrip(";")
     while at < len(text):
@@ -34,11 +38,11 @@ def condition(text: str, diff: Column) -> Column:
     return _bound(sql, diff)
 
 
-def _bound(sql: list[str], value: Column) -> Column:
-    """The tokens as a Column over value, by precedence: ! && ||."""
+def _bound(sql: list[str], value):
+    """The tokens as an expression over value, by precedence: ! && ||."""
     at = 0
 
-    def term() -> Column:
+    def term():
         nonlocal at
         token = sql[at]
         at += 1
@@ -50,11 +54,11 @@ def _bound(sql: list[str], value: Column) -> Column:
             return inner
         left, op, right = token, sql[at], sql[at + 1]
         at += 2
-        side = lambda t: value if t == "_d" else F.lit(float(t))
+        side = lambda t: value if t == "_d" else float(t)
         a, b = side(left), side(right)
         return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b, "!=": a != b}[op]
 
-    def both() -> Column:
+    def both():
         nonlocal at
         out = term()
         while at < len(sql) and sql[at] == "and":
@@ -62,7 +66,7 @@ def _bound(sql: list[str], value: Column) -> Column:
             out = out & term()
         return out
 
-    def either() -> Column:
+    def either():
         nonlocal at
         out = both()
         while at < len(sql) and sql[at] == "or":
@@ -93,6 +97,21 @@ def time_ok(process: str, gap: Column, rules: dict[tuple[str, str], str] | None
     return F.coalesce(condition(rule, gap), F.lit(False)) if rule else F.lit(True)
 
 
+def span(process: str, backwards: bool, rules: dict[tuple[str, str], str] | None = None) -> tuple[int, int] | None:
+    """B's year less A's, at least and at most, where the rule on years (from B to A if backwards) can hold; None if unbounded."""
+    rule = (STANDARD if rules is None else rules).get((process, "timegapdiff"))
+    if not rule:
+        return None
+    gaps = np.arange(-_MOST_YEARS, _MOST_YEARS + 1)
+    held = gaps[np.broadcast_to(condition(rule, gaps), gaps.shape)]
+    if not len(held):
+        return 0, -1
+    low, high = int(held[0]), int(held[-1])
+    if low == -_MOST_YEARS or high == _MOST_YEARS:
+        return None
+    return (-high - 1, -low + 1) if backwards else (low - 1, high + 1)
+
+
 def age_ok(process: str, gap: Column, age: Column, rules: dict[tuple[str, str], str] | None = None) -> Column:
     """An unknown age (below 0) or a missing rule accepts."""
     rule = (STANDARD if rules is None else rules).get((process, "consistencytolerance"))

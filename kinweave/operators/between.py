@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from kinweave.functions import names, rules
 from kinweave.operators import fuzzy
 
-#: (female slot, male slot) of a couple, and whether years are counted from B to A.
+#: Processes that count years from B to A.
 _BACKWARDS = {"between_b_m", "between_d_m", "between_m_m"}
+_NUMBERS = ("lev_total", "lev_max", "matched", "n_a", "n_b")
 
 
-def _person(df: DataFrame, role: str, *rest) -> DataFrame:
-    return df.select("event", F.col(f"{role}.given").alias("given"), F.col(f"{role}.family").alias("family"), *rest)
+def _people(df: DataFrame, roles: dict[str, str], *rest: str) -> DataFrame:
+    """(event, year, given, family, sex) and rest of the people in roles, a column by sex."""
+    person = lambda sex, r: F.struct(F.lit(sex).alias("sex"), F.col(f"{r}.given").alias("given"), F.col(f"{r}.family").alias("family"))
+    return df.select("event", F.year("event_date").alias("year"), *rest, F.explode(F.array(*(person(*x) for x in roles.items()))).alias("x")).select("event", "year", *rest, "x.*")
 
 
 def couples_b(b: DataFrame) -> DataFrame:
@@ -40,13 +43,14 @@ def between(a: DataFrame, b: DataFrame, process: str, most: int = 4, fixed: bool
     """
     two = process == "between_m_m"
     pa, cb = parents_a(a, two), couples_b(b)
-    found = {}
-    for sex, parent in (("male", "father"), ("female", "mother")):
-        hits = fuzzy.candidates(_person(pa, parent, "code"), _person(cb, sex), most, fixed, block)
-        found[sex] = fuzzy.assigned(hits, ["code"]).filter(fuzzy.enough_names()).select("code", "a_event", "b_event", *(F.col(c).alias(f"{sex}_{c}") for c in ("lev_total", "lev_max", "matched", "n_a", "n_b")))
-    links = found["male"].join(found["female"], ["code", "a_event", "b_event"])
+    search = fuzzy.Search(_people(pa, {"male": "father", "female": "mother"}, "code"), _people(cb, {"male": "male", "female": "female"}), most, fixed, block, same=("sex",))
+    backwards = process in _BACKWARDS
+    hits = fuzzy.assigned(search.hits(None if ignore_date else rules.span(process, backwards, rule_set)), ["code", "sex"]).filter(fuzzy.enough_names())
+    one = lambda sex: F.max(F.when(F.col("sex") == sex, F.struct(*_NUMBERS))).alias(sex)
+    links = hits.groupBy("code", "a_event", "b_event").agg(one("male"), one("female")).filter("male is not null and female is not null")
+    links = links.select("code", "a_event", "b_event", *(F.col(f"{sex}.{c}").alias(f"{sex}_{c}") for sex in ("male", "female") for c in _NUMBERS))
     links = links.join(pa.select(F.col("event").alias("a_event"), F.col("event_date").alias("a_date")).distinct(), "a_event").join(cb.select(F.col("event").alias("b_event"), F.col("event_date").alias("b_date"), "subject_gender").distinct(), "b_event")
-    gap = names.year_gap(F.col("b_date"), F.col("a_date")) if process in _BACKWARDS else names.year_gap(F.col("a_date"), F.col("b_date"))
+    gap = names.year_gap(F.col("b_date"), F.col("a_date")) if backwards else names.year_gap(F.col("a_date"), F.col("b_date"))
     links = links.withColumn("year_diff", F.lit(0) if ignore_date else gap).filter("subject_gender <> 'UNKNOWN'")
     if not ignore_date:
         links = links.filter(rules.time_ok(process, F.col("year_diff"), rule_set))

@@ -2,7 +2,7 @@
 
 The six roles are searched together, so a pair of names is compared once for all of them,
 and one grouping by (a_event, b_event) brings a pair's roles together. A role's hits bind
-only if A's person has any.
+only if A's person has any, in whatever year.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
 from kinweave.operators import fuzzy
-from kinweave.shared import kept
 
 PROCESS = "within_m_m"
 #: Short name and role of the bride's and the groom's side.
@@ -39,7 +38,7 @@ def _people(m: DataFrame, indexed: bool) -> DataFrame:
         m = m.filter(valid("subject") & (valid("partner") | valid("subject_mother") | valid("subject_father")))
     person = lambda s, r: F.struct(F.lit(s).alias("role"), F.col(f"{r}.given").alias("given"), F.col(f"{r}.family").alias("family"))
     roles = [F.when(valid("partner"), person(s, r)) if indexed and s in ("pm", "pf") else person(s, r) for s, r in ROLES.items()]
-    return m.select("event", F.explode(F.array_compact(F.array(*roles))).alias("x")).select("event", "x.*")
+    return m.select("event", F.year("event_date").alias("year"), F.explode(F.array_compact(F.array(*roles))).alias("x")).select("event", "year", "x.*")
 
 
 def _found(short: str) -> Column:
@@ -64,12 +63,12 @@ def couples(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, bloc
     only with ignore_date, which still checks ages against a gap of 0.
     """
     a = _searched(a)
-    found = fuzzy.candidates(_people(a, False), _people(b, True), most, fixed, block, same=("role",))
-    hits = kept(fuzzy.assigned(found, ["role"]), "couple-hits")
+    search = fuzzy.Search(_people(a, False), _people(b, True), most, fixed, block, same=("role",))
+    hits = fuzzy.assigned(search.hits(None if ignore_date else rules.span(PROCESS, False, rule_set)).filter("a_event <> b_event"), ["role"])
     numbers = lambda s: F.max(F.when(F.col("role") == s, F.struct(*NUMBERS))).alias(s)
-    rows = hits.filter("a_event <> b_event").groupBy("a_event", "b_event").agg(*(numbers(s) for s in ROLES)).filter("s is not null or p is not null")
+    rows = hits.groupBy("a_event", "b_event").agg(*(numbers(s) for s in ROLES)).filter("s is not null or p is not null")
     rows = rows.select("a_event", "b_event", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ROLES for c in NUMBERS))
-    rows = rows.join(hits.groupBy("a_event").agg(*(F.max(F.col("role") == s).alias(f"any_{s}") for s in ROLES)), "a_event")
+    rows = rows.join(search.found(["role"]).groupBy("a_event").agg(*(F.max(F.col("role") == s).alias(f"any_{s}") for s in ROLES)), "a_event")
     same = _found("s") & _found("p") & _binds("sm") & _binds("sf") & _binds("pm") & _binds("pf")
     groom = _found("p") & _binds("pm") & _binds("pf") & ~same
     bride = _found("s") & _binds("sm") & _binds("sf") & ~same & (F.lit(True) if bride_remarriage else ~_any("p"))

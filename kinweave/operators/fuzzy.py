@@ -1,9 +1,11 @@
 """Fuzzy joins on names: distinct names are paired first, people afterwards.
 
-Names are compared once for each pair of distinct names. With blocking the
-pairs share their first letter; without, an indexed name of length L is cut into t + 1
-parts, and a name within t edits holds one of them near its place, so equal
-parts are the join key and nothing is compared with everything.
+Names are compared once for each pair of distinct names, and only if they share a
+key. A name's keys are its variants with up to t characters left out: two names within t
+edits have one in common, and names that don't look alike have none, however many names
+begin alike. So the pairs to check grow with the pairs that are alike, not with the
+square of a block. Long names, which have too many variants, are keyed by the variants of
+their halves: one of the halves has t // 2 edits at most.
 """
 
 from __future__ import annotations
@@ -12,50 +14,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import names
-
-
-def _close(pairs: DataFrame) -> DataFrame:
-    """Checks pairs (a, t, b): within t edits."""
-    near = pairs.filter(F.abs(F.length("a") - F.length("b")) <= F.col("t"))
-    return near.withColumn("distance", F.levenshtein("a", "b")).filter("distance <= t").select("a", "b", "distance")
-
-
-def _probes(a: DataFrame, most: int, fixed: bool) -> DataFrame:
-    return a.select("a").filter("a is not null").distinct().withColumn("t", names.allowed(F.length("a"), most, fixed))
+from kinweave.shared import kept, partitions
+
+#: Names of so many characters at most are keyed whole, by the most edits asked for (1,100 variants at most).
+WHOLE = {0: 1 << 30, 1: 1 << 30, 2: 40, 3: 18, 4: 13}
+#: The years of an event fall into this many buckets for each width of the window that is sought.
+YEAR_BUCKETS = 4
+
+
+def variants(name: Column, t: Column, most: int) -> Column:
+    """name with 0 to t characters left out (t: most at most), each length's variants once."""
+    if most == 0:
+        return F.array(name)
+    none = F.array().cast("array<string>")
+    shorter = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(none)
+    longer = lambda acc, i: F.when(i <= t, F.concat(acc, F.array(F.array_distinct(F.flatten(F.transform(F.element_at(acc, -1), shorter)))))).otherwise(acc)
+    return F.flatten(F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.array(name)), longer))
+
+
+def _keys(most: int, fixed: bool, block: bool) -> Column:
+    """Keys of a name; with block the first character is in every key and not left out."""
+    name, n = F.col("name"), F.length("name")
+    rest = F.substring(name, F.lit(2), n) if block else name
+    first = F.substring(name, F.lit(1), F.lit(1)) if block else F.lit("")
+    hashed = lambda part, found: F.transform(found, lambda v: F.xxhash64(F.lit(part), first, v))
+    whole = hashed("whole", variants(rest, names.allowed(n, most, fixed), most))
+    if most < 2:
+        return whole
+    few, size, limit, none = most // 2, F.length(rest), WHOLE[most], F.array().cast("array<bigint>")
+    # another name has size - most to size + most characters, what stands for its half few more or less
+    upto = lambda low, high: F.sequence(F.greatest(low.cast("int") - few, F.lit(0)), F.least(high.cast("int") + few, size))
+    fronts = F.transform(upto(F.floor((size - most) / 2), F.floor((size + most) / 2)), lambda k: F.substring(rest, F.lit(1), k))
+    backs = F.transform(upto(F.ceil((size - most) / 2), F.ceil((size + most) / 2)), lambda k: F.substring(rest, size - k + 1, k))
+    all_of = lambda parts: F.array_distinct(F.flatten(F.transform(parts, lambda x: variants(x, F.lit(few), few))))
+    halves = F.concat(hashed("front", all_of(fronts)), hashed("back", all_of(backs)))
+    return F.concat(F.when(n <= limit + most, whole).otherwise(none), F.when(n > limit - most, halves).otherwise(none))
+
+
+def _pairs(a: DataFrame, b: DataFrame, most: int, fixed: bool, block: bool) -> DataFrame:
+    """Both sides' names are keyed together, in one shuffle that the join reads twice (never a broadcast: the planner can't see how many keys there are)."""
+    both = a.select(F.col("a").alias("name"), F.lit(1).alias("side")).unionByName(b.select(F.col("b").alias("name"), F.lit(2).alias("side")))
+    both = both.filter("name is not null").groupBy("name").agg(F.bit_or("side").alias("side"))
+    n = partitions(a.sparkSession)  # dealt evenly: what follows is work, not bytes
+    keys = both.repartition(n, "name").select("name", "side", F.explode(_keys(most, fixed, block)).alias("key")).repartition(n, "key")
+    left, right = keys.select("key", F.col("name").alias("a"), F.col("side").alias("x")), keys.select("key", F.col("name").alias("b"), F.col("side").alias("y"))
+    t = names.allowed(F.length("a"), most, fixed)
+    sides = (F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(2)) == 3  # a test of both sides stays above the shuffle
+    near = left.join(right.hint("merge"), "key").filter(sides & (F.abs(F.length("a") - F.length("b")) <= t))
+    if block:
+        near = near.filter(F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    return near.select("a", "b").distinct().withColumn("distance", F.when(F.col("a") == F.col("b"), 0).otherwise(F.levenshtein("a", "b"))).filter(F.col("distance") <= t)
 
 
 def pairs_blocked(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False) -> DataFrame:
     """(a, b, distance) of names a(a), b(b) that share their first character and lie within a's allowed edits."""
-    left = _probes(a, most, fixed).withColumn("k", F.substring("a", 1, 1))
-    right = b.select("b").filter("b is not null").distinct().withColumn("k", F.substring("b", 1, 1))
-    return _close(left.join(right, "k"))
-
-
-def _part(length: Column, t: Column, i: Column) -> tuple[Column, Column]:
-    """(start from 0, size) of part i of t + 1 parts; the last ones are longer."""
-    size = F.floor(length / (t + 1)).cast("int")
-    short = t + 1 - length % (t + 1)
-    return i * size + F.greatest(i - short, F.lit(0)), size + F.when(i >= short, 1).otherwise(0)
+    return _pairs(a, b, most, fixed, True).filter("a <> ''")
 
 
 def pairs_unblocked(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False) -> DataFrame:
     """As pairs_blocked, for any first characters."""
-    left = _probes(a, most, fixed)
-    right = b.select("b").filter("b is not null").distinct()
-    t, i, n = F.col("t"), F.col("i"), F.col("n")
-    parts = right.withColumn("n", F.length("b")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(most)))).filter("n > t").withColumn("i", F.explode(F.sequence(F.lit(0), t)))
-    start, size = _part(n, t, i)
-    parts = parts.select("b", "t", "n", "i", F.substring("b", start + 1, size).alias("piece"))
-    seeks = left.withColumn("low", F.greatest(t + 1, F.length("a") - t)).filter(F.col("low") <= F.length("a") + t)
-    seeks = seeks.withColumn("n", F.explode(F.sequence("low", F.length("a") + t))).withColumn("i", F.explode(F.sequence(F.lit(0), t)))
-    start, size = _part(n, t, i)
-    seeks = seeks.withColumns({"from_": F.greatest(start - t, F.lit(0)), "size": size}).withColumn("to_", F.least(F.length("a") - F.col("size"), start + t)).filter("from_ <= to_")
-    seeks = seeks.withColumn("s", F.explode(F.sequence("from_", "to_"))).select("a", "t", "n", "i", F.substring("a", F.col("s") + 1, F.col("size")).alias("piece")).distinct()
-    found = seeks.join(parts, ["t", "n", "i", "piece"]).select("a", "t", "b").distinct()
-    # names too short to be cut: lengths up to t on both sides
-    tiny = right.withColumn("n", F.length("b")).filter(n <= most)
-    reach = left.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(most)))).filter((n <= t) & (n >= F.length("a") - t))
-    return _close(found.unionByName(reach.join(tiny, "n").select("a", "t", "b")).distinct())
+    return _pairs(a, b, most, fixed, False)
 
 
 def name_index(people: DataFrame) -> DataFrame:
@@ -64,21 +82,58 @@ def name_index(people: DataFrame) -> DataFrame:
     return valid.withColumns({"n_b": names.index_count(F.col("given")), "last": names.canonical(F.col("family"))}).withColumn("fn", F.explode(names.first_names(F.col("given")))).drop("given", "family")
 
 
-def candidates(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, block: bool = True, same: tuple[str, ...] = ()) -> DataFrame:
-    """Hits of people a in the index of people b, both (event, given, family).
+class Search:
+    """People a sought in the index of people b, both (event, given, family).
 
-    a_event, n_a, src (a's first name), b_event, fn (b's first name), n_b, fn_distance,
-    last_distance; first and last name come from one indexed person. a may hold
-    more columns, which are kept; those in same, which b has too, must be equal.
+    a may hold more columns, which are kept; those in same, which b has too, must be equal.
+    The pairs of names are found once, in the shared folder, for all that is asked.
     """
-    rest = [c for c in a.columns if c not in ("event", "given", "family")]
-    probe = a.filter(names.is_valid(F.col("given"), F.col("family"), F.col("event")))
-    probe = probe.select(F.col("event").alias("a_event"), *rest, names.probe_count(F.col("given")).alias("n_a"), names.canonical(F.col("family")).alias("a_last"), F.explode(F.array_distinct(names.first_names(F.col("given")))).alias("src")).filter("src <> ''")
-    index = name_index(b.select("event", "given", "family", *same)).withColumnRenamed("event", "b_event")
-    pair = pairs_blocked if block else pairs_unblocked
-    lasts = pair(probe.select(F.col("a_last").alias("a")), index.select(F.col("last").alias("b")), most, fixed).select(F.col("a").alias("a_last"), F.col("b").alias("last"), F.col("distance").alias("last_distance"))
-    firsts = pairs_unblocked(probe.select(F.col("src").alias("a")), index.select(F.col("fn").alias("b")), most, fixed).select(F.col("a").alias("src"), F.col("b").alias("fn"), F.col("distance").alias("fn_distance"))
-    return probe.join(lasts, "a_last").join(firsts, "src").join(index, ["last", "fn", *same]).select("a_event", *rest, "n_a", "src", "b_event", "fn", "n_b", "fn_distance", "last_distance")
+
+    def __init__(self, a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, block: bool = True, same: tuple[str, ...] = ()):
+        self.same, self.rest = same, [c for c in a.columns if c not in ("event", "given", "family")]
+        probe = a.filter(names.is_valid(F.col("given"), F.col("family"), F.col("event")))
+        probe = probe.select(F.col("event").alias("a_event"), *self.rest, names.probe_count(F.col("given")).alias("n_a"), names.canonical(F.col("family")).alias("a_last"), F.explode(F.array_distinct(names.first_names(F.col("given")))).alias("src"))
+        self.probe = probe.filter("src <> ''")
+        self.index = name_index(b).withColumnRenamed("event", "b_event")
+        pair = pairs_blocked if block else pairs_unblocked
+        lasts = pair(self.probe.select(F.col("a_last").alias("a")), self.index.select(F.col("last").alias("b")), most, fixed)
+        self.lasts = kept(lasts.select(F.col("a").alias("a_last"), F.col("b").alias("last"), F.col("distance").alias("last_distance")), "last-names")
+        firsts = pairs_unblocked(self.probe.select(F.col("src").alias("a")), self.index.select(F.col("fn").alias("b")), most, fixed)
+        self.firsts = kept(firsts.select(F.col("a").alias("src"), F.col("b").alias("fn"), F.col("distance").alias("fn_distance")), "first-names")
+
+    def _named(self, probe: DataFrame) -> DataFrame:
+        return probe.join(self.lasts, "a_last").join(self.firsts, "src")
+
+    def hits(self, span: tuple[int, int] | None = None) -> DataFrame:
+        """a_event, n_a, src (a's first name), b_event, fn (b's first name), n_b, fn_distance, last_distance; first and last name come from one indexed person.
+
+        span: b's year less a's, at least and at most; both sides then have a column year, and a common name's
+        people fall into buckets of years, of which only those in reach meet. Rows without a year have no hit.
+        """
+        probe, index, on = self.probe, self.index, ["last", "fn", *self.same]
+        if span is not None:
+            low, high = span
+            width = max(1, (high - low + 1) // YEAR_BUCKETS)
+            bucket = lambda year: F.floor(year / width).cast("int")
+            index = index.withColumnsRenamed({"year": "b_year"}).filter("b_year is not null").withColumn("bucket", bucket(F.col("b_year")))
+            probe = probe.filter("year is not null").withColumn("bucket", F.explode(F.sequence(bucket(F.col("year") + low), bucket(F.col("year") + high))))
+            on = [*on, "bucket"]
+        elif "year" in index.columns:
+            index = index.drop("year")
+        found = self._named(probe).join(index, on)
+        if span is not None:
+            found = found.filter((F.col("b_year") - F.col("year")).between(*span))
+        return found.select("a_event", *self.rest, "n_a", "src", "b_event", "fn", "n_b", "fn_distance", "last_distance")
+
+    def found(self, by: list[str]) -> DataFrame:
+        """The distinct a_event and by of people with a hit in any year; compares names only, and no one's namesakes."""
+        known = self.index.select("last", "fn", *self.same).distinct()
+        return self._named(self.probe.select("a_event", *{*by, *self.same}, "a_last", "src")).join(known, ["last", "fn", *self.same], "left_semi").select("a_event", *by).distinct()
+
+
+def candidates(a: DataFrame, b: DataFrame, most: int = 4, fixed: bool = False, block: bool = True, same: tuple[str, ...] = ()) -> DataFrame:
+    """All hits of people a in the index of people b."""
+    return Search(a, b, most, fixed, block, same).hits()
 
 
 def assigned(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,6 +143,7 @@ def assigned(hits: DataFrame, keys: list[str]) -> DataFrame:
     free name of the other side (ties by name); lev_max leaves the last name out.
     """
     by = [*keys, "a_event", "b_event"]
+    hits = hits.repartition(*by)  # both groupings below keep to it
     one = hits.groupBy(*by, "src").agg(F.array_sort(F.collect_set(F.struct("fn_distance", "fn"))).alias("cands"), F.min("last_distance").alias("last"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     per = one.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.size("cands").alias("n"), "src", "cands"))).alias("all"), F.min("last").alias("last"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     start = F.struct(F.array().cast("array<string>").alias("used"), F.lit(0).alias("matched"), F.lit(0).alias("total"), F.lit(0).alias("most"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
 from kinweave.operators import fuzzy
-from kinweave.shared import kept
 
 
 def turned(b: DataFrame, gender: str) -> DataFrame:
@@ -22,10 +21,10 @@ def _valid(role: str):
     return names.is_valid(F.col(f"{role}.given"), F.col(f"{role}.family"), F.col("event"))
 
 
-def _hits(a: DataFrame, b: DataFrame, role: str, short: str, most: int, fixed: bool, block: bool) -> DataFrame:
-    person = lambda d: d.select("event", F.col(f"{role}.given").alias("given"), F.col(f"{role}.family").alias("family"))
-    out = fuzzy.assigned(fuzzy.candidates(person(a), person(b), most, fixed, block), [])
-    return out.select("a_event", "b_event", *(F.col(c).alias(f"{short}_{c}") for c in ("lev_total", "lev_max", "matched", "n_a", "n_b")))
+def _people(d: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """(event, year, role, given, family) of the people in roles."""
+    person = lambda s, r: F.struct(F.lit(s).alias("role"), F.col(f"{r}.given").alias("given"), F.col(f"{r}.family").alias("family"))
+    return d.select("event", F.year("event_date").alias("year"), F.explode(F.array(*(person(*x) for x in roles.items()))).alias("x")).select("event", "year", "x.*")
 
 
 def within(a: DataFrame, b: DataFrame, process: str, gender: str, most: int = 4, fixed: bool = False, block: bool = True, ignore_date: bool = False, relatives: bool = True, rule_set: dict | None = None) -> DataFrame:
@@ -43,17 +42,19 @@ def within(a: DataFrame, b: DataFrame, process: str, gender: str, most: int = 4,
     if relatives:
         a = a.filter(_valid("subject_mother") | _valid("subject_father"))
         b = b.filter(_valid("subject_mother") | _valid("subject_father"))
-    s = _hits(a, b, "subject", "s", most, fixed, block)
+    roles = {"s": "subject"} | ({"m": "subject_mother", "f": "subject_father"} if relatives else {})
+    search = fuzzy.Search(_people(a, roles), _people(b, roles), most, fixed, block, same=("role",))
+    hits = fuzzy.assigned(search.hits(None if ignore_date else rules.span(process, False, rule_set)), ["role"])
+    numbers = ("lev_total", "lev_max", "matched", "n_a", "n_b")
+    one = lambda r: F.max(F.when(F.col("role") == r, F.struct(*numbers))).alias(r)
+    rows = hits.groupBy("a_event", "b_event").agg(*map(one, roles)).filter("s is not null")
+    rows = rows.select("a_event", "b_event", *(F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in roles for c in numbers))
     about_a = a.select(F.col("event").alias("a_event"), F.col("event_date").alias("a_date"), _valid("subject_mother").alias("vm"), _valid("subject_father").alias("vf"), F.col("subject.age").alias("a_age"), F.col("subject_mother.age").alias("a_mother_age"))
     about_b = b.select(F.col("event").alias("b_event"), F.col("event_date").alias("b_date"), _valid("subject_mother").alias("has_m"), _valid("subject_father").alias("has_f"), F.col("subject.age").alias("b_age"), F.col("subject_mother.age").alias("b_mother_age"))
-    rows = s.join(about_a, "a_event").join(about_b, "b_event")
-    numbers = ("lev_total", "lev_max", "matched", "n_a", "n_b")
+    rows = rows.join(about_a, "a_event").join(about_b, "b_event")
     if relatives:
-        m = kept(_hits(a, b, "subject_mother", "m", most, fixed, block), "mother-hits")
-        f = kept(_hits(a, b, "subject_father", "f", most, fixed, block), "father-hits")
-        any_m = m.select("a_event").distinct().withColumn("any_m", F.lit(True))
-        any_f = f.select("a_event").distinct().withColumn("any_f", F.lit(True))
-        rows = rows.join(m, ["a_event", "b_event"], "left").join(f, ["a_event", "b_event"], "left").join(any_m, "a_event", "left").join(any_f, "a_event", "left")
+        known = search.found(["role"]).groupBy("a_event").agg(*(F.max(F.col("role") == r).alias(f"any_{r}") for r in "mf"))  # in any year
+        rows = rows.join(known, "a_event", "left")
         any_m, any_f = F.col("vm") & F.coalesce("any_m", F.lit(False)), F.col("vf") & F.coalesce("any_f", F.lit(False))
         in_m, in_f = F.col("m_matched").isNotNull(), F.col("f_matched").isNotNull()
         in_s1 = ~any_m | in_m

@@ -34,6 +34,39 @@ def test_pairs_match_brute_force(spark, most):
     assert {tuple(r) for r in fuzzy.pairs_blocked(a, b, most).collect()} == {p for p in want if p[0][0] == p[1][0]}
 
 
+@pytest.mark.parametrize("most, fixed", [(2, True), (3, False), (4, False), (4, True)])
+def test_long_pairs_match_brute_force(spark, most, fixed):
+    rng = random.Random(most)
+    words = {"", "a", "ab"}
+    for n in [*range(9, 24), 41, 45]:
+        word = "".join(rng.choice("abcdef") for _ in range(n))
+        words.add(word)
+        for _ in range(6):  # names some edits apart
+            chars = list(word)
+            for _ in range(rng.randint(1, 5)):
+                at = rng.randrange(len(chars))
+                rng.choice([lambda: chars.pop(at), lambda: chars.insert(at, rng.choice("abc")), lambda: chars.__setitem__(at, "z")])()  # noqa: B023
+            words.add("".join(chars))
+    words = sorted(words)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    allowed = lambda n: most if fixed and n else _allowed(n, most)
+    want = {(x, y, d) for x in words for y in words if (d := _lev(x, y)) <= allowed(len(x))}
+    a, b = df.select(F.col("w").alias("a")), df.select(F.col("w").alias("b"))
+    assert {tuple(r) for r in fuzzy.pairs_unblocked(a, b, most, fixed).collect()} == want
+    assert {tuple(r) for r in fuzzy.pairs_blocked(a, b, most, fixed).collect()} == {p for p in want if p[0][:1] and p[0][:1] == p[1][:1]}
+
+
+def test_year_windows(spark):
+    assert rules.span("between_b_m", True) == (-37, 6) and rules.span("within_b_m", False) == (13, 81)
+    assert rules.span("within_b_m", False, {}) is None and rules.span("x", False, {("x", "timegapdiff"): "diff > 3"}) is None
+    people = [("e", "anna", "smit", y) for y in range(1800, 1900)]
+    df = spark.createDataFrame([(f"{e}{y}", g, f, y) for e, g, f, y in people], "event string, given string, family string, year int")
+    search = fuzzy.Search(df, df)
+    got = {(r.a_event, r.b_event) for r in search.hits((-3, 20)).collect()}
+    assert got == {(f"e{y}", f"e{z}") for y in range(1800, 1900) for z in range(1800, 1900) if -3 <= z - y <= 20}
+    assert search.hits().count() == 100 * 100 and search.found([]).count() == 100
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("jan-karel",), ("jan karel ",), ("jan  karel",), ("__",), ("",), (None,)], "g string")
     got = rows.select(names.first_names(F.col("g")), names.probe_count(F.col("g"))).collect()
