@@ -7,7 +7,10 @@ steps for all texts and trees at once. Fitted on at most labelled.MOST_ROWS rows
 every text is scored whole.
 
 Null and empty texts have statistics 0 and are scored like any other. With no
-labelled row every score is 0.5.
+labelled row every score is 0.5. Long texts are measured whole, in one slice of their own; equal
+texts have equal scores; a label given twice counts with its smaller value. Null ids are scored and
+never learnt from. An empty table gives no row. Columns other than doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
