@@ -10,7 +10,13 @@ a histogram of hash cells, so a large source is not sorted in one task, and
 taking a document is a comparison with its pattern's limit.
 
 A null text has size 0. A null source is a source of its own, the last. Rows equal
-in id and text are taken together.
+in id and text are taken together. The limit is sought in steps: each finds, by a histogram, the
+cell of the order that it lies in, until few rows are left. Long texts are one document like any
+other, so a source's words may miss its quota by half the size of one. An empty table gives an
+empty mix. Further columns are carried along, whatever their names.
+
+Where every document has one source, the flow has no choice but the smaller of quota and supply;
+it decides where sources overlap (sources= of Mix, overlapping()).
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ MOST_COPIES = 2
 SEED = "mix-1"
 #: Patterns and sources that are brought to the driver at most; more raise an error.
 MOST_PATTERNS = 100_000
-CELL_DIGITS = 3
+#: Hexadecimal digits of the order key by which a step of the search for a limit parts the rows, digits it looks at, at most, and rows that are then put in order.
+CELL_DIGITS, MOST_DIGITS, MOST_IN_CELL = 3, 30, 100_000
 
 
 def by_weight(sizes: list[int], weights: list[int], total: float, most: float) -> list[float]:
@@ -138,7 +145,7 @@ class Mix:
     def __init__(self, docs: DataFrame, sources: Column | None = None, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, copies: int = MOST_COPIES, seed: str = SEED):
         self.spark = prepare(docs.sparkSession)
         self.sources, self.seed = F.array("source") if sources is None else sources, seed
-        self.sizes = kept(self._measured(docs).select("doc_id", "_pattern", "_order", "_size"), "sizes")
+        self.sizes = kept(docs.select(*self._measures()), "sizes")
         rows = self.sizes.groupBy("_pattern").agg(F.sum("_size")).limit(MOST_PATTERNS + 1).collect()
         if len(rows) > MOST_PATTERNS:
             raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
@@ -156,44 +163,60 @@ class Mix:
         plan = [(p, flow[p] // w if w else 0, flow[p] % w if w else 0) for p, w in self.words.items()]
         self.limits = self._limits(plan)
 
-    def _measured(self, docs: DataFrame) -> DataFrame:
-        return docs.select("*", _pattern(self.sources).alias("_pattern"), _order_key(self.seed).alias("_order"), F.regexp_count(whole(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"))
+    def _measures(self) -> list[Column]:
+        return [_pattern(self.sources).alias("_pattern"), _order_key(self.seed).alias("_order"), F.regexp_count(whole(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size")]
 
     def _limits(self, plan: list[tuple[str, int, int]]) -> dict[str, tuple[int, str]]:
         """Copies that all documents of a pattern have, and the order key up to which they have one more."""
         whole_copies = {p: k for p, k, _ in plan}
-        rest = self.spark.createDataFrame([(p, r) for p, _, r in plan if r] or [("", 0)], "_pattern string, rest long")
-        cell = F.substring("_order", 1, CELL_DIGITS)
-        up = Window.partitionBy("_pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-        cells = self.sizes.groupBy("_pattern", cell.alias("cell")).agg(F.sum("_size").alias("words")).join(F.broadcast(rest), "_pattern")
-        cells = cells.withColumn("upto", F.sum("words").over(up)).filter("upto - words < rest and upto >= rest").select("_pattern", "cell", (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"))
-        inside = self.sizes.withColumn("cell", cell).join(F.broadcast(cells), ["_pattern", "cell"])
+        inside = {p: ("", r) for p, _, r in plan if r}  # the part of the order in which the limit lies, and the words still to take in it
+        digits = 0
+        while inside and digits < MOST_DIGITS:  # each step leaves one cell in 16 ** CELL_DIGITS
+            digits += CELL_DIGITS
+            cells = self._within(inside).groupBy("_pattern", "rest", F.substring("_order", 1, digits).alias("cell")).agg(F.sum("_size").alias("words"), F.count("*").alias("n"))
+            up = Window.partitionBy("_pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+            cells = cells.withColumn("upto", F.sum("words").over(up)).filter("upto - words < rest and upto >= rest")
+            rows = cells.select("_pattern", "cell", F.col("rest") - F.col("upto") + F.col("words"), "n").collect()  # one row a pattern
+            inside = {r[0]: (r[1], r[2]) for r in rows}
+            if all(r[3] <= MOST_IN_CELL for r in rows):
+                break
+        # equal rows are one, so that many of them are no large cell
+        inside_rows = self._within(inside).groupBy("_pattern", "rest", "_order").agg(F.sum("_size").alias("_size"), F.max("_size").alias("one"))
         so_far = Window.partitionBy("_pattern").orderBy("_order")
-        inside = inside.withColumn("upto", F.sum("_size").over(so_far))
-        last = F.max(F.when(F.col("upto") - F.col("_size") / 2 <= F.col("rest"), F.col("_order")))
-        found = inside.groupBy("_pattern").agg(F.coalesce(last, F.max("cell")).alias("limit")).collect()  # one row a pattern
-        limit = {r[0]: r[1] for r in found}
+        last = F.max(F.when(F.col("upto") - F.col("one") / 2 <= F.col("rest"), F.col("_order"))).alias("limit")
+        found = inside_rows.withColumn("upto", F.sum("_size").over(so_far)).groupBy("_pattern").agg(last).collect()  # one row a pattern
+        limit = {r[0]: inside[r[0]][0] if r[1] is None else r[1] for r in found}
         return {p: (k, limit.get(p, "")) for p, k in whole_copies.items()}
 
+    def _within(self, inside: dict[str, tuple[str, int]]) -> DataFrame:
+        """The rows of sizes in their pattern's part of the order, with the words to take there (rest)."""
+        part = self.spark.createDataFrame([(p, c, r) for p, (c, r) in inside.items()] or [("", "", 0)], "_pattern string, prefix string, rest long")
+        return self.sizes.join(F.broadcast(part), "_pattern").filter(F.col("_order").startswith(F.col("prefix")))  # MOST_PATTERNS rows at most
+
     def copies(self, docs: DataFrame) -> DataFrame:
-        """docs with _pattern, _size and _copies: how often the mix takes a document."""
+        """(row, size, copies): docs' columns as a struct, their words, and how often the mix takes a document."""
         table = self.spark.createDataFrame([(p, k, b) for p, (k, b) in self.limits.items()] or [("", 0, "")], "_pattern string, _whole int, _limit string")
-        rows = self._measured(docs).join(F.broadcast(table), "_pattern", "left")  # MOST_PATTERNS rows at most
+        rows = docs.select(F.struct("*").alias("row"), *self._measures()).join(F.broadcast(table), "_pattern", "left")  # MOST_PATTERNS rows at most
         taken = F.coalesce(F.col("_whole") + F.when(F.col("_order") <= F.col("_limit"), 1).otherwise(0), F.lit(0))
-        return rows.withColumn("_copies", taken).drop("_whole", "_limit", "_order")
+        return rows.select("row", F.col("_size").alias("size"), taken.alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their columns."""
-    out = Mix(docs).copies(docs).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = Mix(docs).copies(docs).filter("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
+def overlapping(docs: DataFrame, sources: Column) -> DataFrame:
+    """doc_id, size and taken, where a document belongs to all sources of an array and its words may fill any of their quotas."""
+    return Mix(docs, sources).copies(docs).select("row.doc_id", "size", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "source")
     mix = Mix(docs)
     names = mix.spark.createDataFrame([(json.loads(s), mix.source_size[s], round(t, 6)) for s, t in mix.targets.items()] or [(None, 0, 0.0)], "name string, source_size long, target double")
-    sized = mix.copies(docs).select("doc_id", "source", F.col("_size").alias("size"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    sized = mix.copies(docs).select("row.doc_id", "row.source", "size", (F.col("size") * F.col("copies")).alias("taken"))
     return sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")), "left").select("doc_id", "size", "source_size", "target", "taken")
 
 
