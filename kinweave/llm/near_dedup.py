@@ -17,7 +17,9 @@ shingles, computed from the texts, reaches the threshold.
 
 Texts without a word count as copies of one another; texts of one to four words have
 one shingle of all their words. A null doc_id can't be a class: its row has
-class null and stays. Rows that repeat an id are one document.
+class null and stays. Rows that repeat an id are one document, with the text whose MD5 is the
+smallest. Long texts are signed whole, in one slice of their own. An empty table gives no row;
+columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,6 +148,21 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> I
             yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _copies(one: DataFrame) -> DataFrame:
+    """(doc_id, copy_key, first_id): the smallest id with each document's text.
+
+    A text with more than a tenth of a partition's share of all documents is looked up by broadcast: there
+    are ten for each partition at most. So no task holds all copies of a text.
+    """
+    least = F.min("doc_id").alias("first_id")
+    groups = kept(one.groupBy("copy_key").agg(least, F.count("*").alias("n")), "copy-groups")
+    share = one.count() / (10 * partitions(one.sparkSession))
+    often = F.col("n") > share
+    by_lookup = one.join(F.broadcast(groups.filter(often).select("copy_key", F.col("first_id").alias("_hot"))), "copy_key", "left")
+    rest = by_lookup.filter("_hot is null").join(groups.filter(~often).select("copy_key", "first_id"), "copy_key")
+    return by_lookup.filter("_hot is not null").select("doc_id", "copy_key", F.col("_hot").alias("first_id")).unionByName(rest.select("doc_id", "copy_key", "first_id"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) that reach the threshold."""
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -203,10 +220,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, ba
     copy_key = F.md5(F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit("")))
     signed = texts.select("doc_id", copy_key.alias("copy_key"), "text").mapInArrow(partial(_sign, size=size, bands=bands, rows=rows, m=max(m, bands * rows)), "doc_id long, copy_key string, bands array<long>, signature binary")
     signed = kept(signed, "signatures")
+    one = kept(signed.groupBy("doc_id").agg(F.min("copy_key").alias("copy_key")), "ids")  # an id's text
     # equal texts go on as the smallest id
-    copies = kept(signed.select("doc_id", "copy_key").join(signed.groupBy("copy_key").agg(F.min("doc_id").alias("first_id")), "copy_key").select("doc_id", "first_id"), "copies")
-    firsts = copies.filter("doc_id = first_id").select("doc_id").distinct()
-    single = signed.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    copies = kept(_copies(one), "copies")
+    firsts = copies.filter("doc_id = first_id").select("doc_id", "copy_key")
+    single = signed.join(firsts, ["doc_id", "copy_key"], "left_semi").dropDuplicates(["doc_id", "copy_key"])
+    again = signed.count() > one.count()
+    if again:  # rows repeat an id
+        texts = kept(texts.withColumn("copy_key", copy_key).join(one, ["doc_id", "copy_key"], "left_semi").dropDuplicates(["doc_id"]).drop("copy_key"), "texts")
     keys = single.select("doc_id", F.explode("bands").alias("key"))
     crowd = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = kept(keys.join(crowd, "key"), "bands")
@@ -227,6 +248,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, ba
     links = first_links.unionByName(_verified(new_pairs, texts, size, threshold))
     final = components(links).withColumnsRenamed({"node": "first_id", "component": "class_id"})
     known = copies.join(final, "first_id", "left").select("doc_id", F.coalesce("class_id", "first_id").alias("class_id"))
+    if again:
+        known = signed.select("doc_id").join(known, "doc_id")  # a row for each row of docs
     return known.unionByName(docs.filter("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id")))
 
 
