@@ -136,9 +136,9 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, inner: int, buckets: i
     for batch in batches:
         ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for row, end, texts in slices(batch, "text", PART_BYTES):
-            for part, base, owner_row in _within(texts, length):
+            for part, base in _within(texts, length):
                 owner, first, last, anchor, whole_hash = stretches(part, length, inner)
-                row_of = row + (owner if owner_row is None else owner_row)
+                row_of = row + owner  # 0 in a part of a long text
                 shift = base - part.offsets[owner]
                 held.append((ids[row_of], keys[row_of], first + shift, (last - first).astype(np.uint8), anchor, whole_hash))
             size += len(texts.data)
@@ -149,13 +149,13 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, inner: int, buckets: i
 
 
 def _within(texts: Texts, length: int, most: int = PART_BYTES):
-    """(texts, start in the document, row or None): one long text is cut into parts that overlap."""
+    """(texts, start in the document): one long text is cut into parts that overlap."""
     if len(texts.data) <= most or len(texts) > 1:
-        yield texts, 0, None
+        yield texts, 0
         return
     for at in range(0, len(texts.data) - length + 1, most):
         part = texts.data[at : at + most + length - 1]
-        yield Texts(part, np.array([0, len(part)], np.int64)), at, 0
+        yield Texts(part, np.array([0, len(part)], np.int64)), at
 
 
 def _merged(held: list[tuple[np.ndarray, ...]], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
