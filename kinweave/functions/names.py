@@ -75,6 +75,29 @@ def age_gap(before: Column, after: Column) -> Column:
     return F.when((b >= 0) & (a >= b), a - b).otherwise(-1)
 
 
+def combinations(given: Column, family: Column) -> Column:
+    """Full names that a person with several first names may go by, with the share of first names used.
+
+    For each first name: it alone, then joined by the others in their order, one after another. Structs (name, used, of).
+    """
+    all_of = first_names(given)
+    n = F.size(all_of)
+    whole = lambda parts: F.concat(F.array_join(parts, "_"), F.lit(" "), canonical(family))
+
+    def of_one(name: Column, at: Column) -> Column:
+        others = F.filter(all_of, lambda _, j: j != at)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(whole(F.concat(F.array(name), F.slice(others, F.lit(1), k))).alias("name"), (k + 1).alias("used"), n.alias("of")))
+
+    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(all_of, of_one))))
+
+
+def duration(seconds: Column) -> Column:
+    """Whole seconds as HH:MM:SS; hours may have more digits."""
+    two = lambda x: F.when(x < 100, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+    s = seconds.cast("long")
+    return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
+
+
 def uuid3(value: Column) -> Column:
     """Version 3 UUID of the MD5 of the bare bytes."""
     m = F.md5(value)

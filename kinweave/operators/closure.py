@@ -18,8 +18,10 @@ _NUMBERS = ("lev_total", "lev_max", "matched", "n_a", "n_b")
 
 
 def _first(certificates: DataFrame, *cols) -> DataFrame:
-    """One row an event: people are read from the first."""
-    return certificates.dropDuplicates(["event"]).select("event", *cols)
+    """One row an event: people are read from the first, in the order of their ids and names."""
+    people = [c for c in certificates.columns if c not in ("event", "event_date")]
+    first = certificates.select("event", F.struct(*people, "event_date").alias("_first")).groupBy("event").agg(F.min("_first").alias("_first")).select("event", "_first.*")
+    return first.select("event", *cols)
 
 
 def _ordered(rows: DataFrame, process: str, n_matched: Column) -> DataFrame:
@@ -131,10 +133,35 @@ def verify(members: DataFrame) -> DataFrame:
     return sizes.agg(F.sum("size").alias("n_members"), F.count("*").alias("n_classes"), F.max("size").alias("largest"))
 
 
-def reconstruction(members: DataFrame, namespace: str = "https://www.example.org/") -> DataFrame:
-    """N-Triples lines (value) of the reconstructed persons."""
-    who = F.concat(F.lit(f"<{namespace}"), F.col("class_uuid"), F.lit(">"))
-    rdf = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
-    kind = members.select(F.concat(who, F.lit(f" {rdf} <https://personsincontext.org/model#PersonReconstruction> .")).alias("value")).distinct()
-    parts = members.select(F.concat(who, F.lit(" <http://www.w3.org/ns/prov#wasDerivedFrom> <"), F.col("person"), F.lit("> .")).alias("value"))
+_RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+_PROV = "http://www.w3.org/ns/prov#"
+
+
+def _named(namespace: str, name: Column) -> Column:
+    """An IRI in a namespace; with _: a blank node."""
+    return F.concat(F.lit("_:"), name) if namespace == "_:" else F.concat(F.lit(f"<{namespace}"), name, F.lit(">"))
+
+
+def class_names(members: DataFrame, namespace: str = "https://www.example.org/") -> DataFrame:
+    """(person, reconstruction): each person's class as a term of N-Triples."""
+    return members.select("person", _named(namespace, F.col("class_uuid")).alias("reconstruction"))
+
+
+def reconstruction(members: DataFrame, namespace: str = "https://www.example.org/", activity: str | None = None) -> DataFrame:
+    """N-Triples lines (value) of the reconstructed persons; activity: the term of what made them."""
+    named = class_names(members, namespace)
+    kinds = [f" {_RDF_TYPE} <https://personsincontext.org/model#PersonReconstruction> ."] + [f" <{_PROV}wasGeneratedBy> {activity} ."] * (activity is not None)
+    kind = named.select("reconstruction").distinct().select(F.explode(F.array(*(F.concat("reconstruction", F.lit(k)) for k in kinds))).alias("value"))
+    parts = named.select(F.concat("reconstruction", F.lit(f" <{_PROV}wasDerivedFrom> <"), F.col("person"), F.lit("> .")).alias("value"))
     return kind.unionByName(parts)
+
+
+def activity_lines(started: str, ended: str, user: str = "", namespace: str = "https://www.example.org/") -> tuple[str, list[str]]:
+    """The term of the activity that made a reconstruction, and its N-Triples lines: who did it, from when to when (ISO times)."""
+    term = lambda name: f"_:{_uuid(name)}" if namespace == "_:" else f"<{namespace}{_uuid(name)}>"
+    it, when = term(started), lambda p, t: f'{term(started)} <{_PROV}{p}> "{t}"^^<http://www.w3.org/2001/XMLSchema#dateTime> .'
+    lines = [f"{it} {_RDF_TYPE} <{_PROV}Activity> .", when("startedAtTime", started), when("endedAtTime", ended)]
+    if user:
+        who, safe = f"_:{_uuid(user)}", user.replace("\\", "\\\\").replace('"', '\\"')
+        lines += [f"{it} <{_PROV}wasAssociatedWith> {who} .", f"{who} {_RDF_TYPE} <{_PROV}Agent> .", f'{who} <https://schema.org/name> "{safe}" .']
+    return it, lines

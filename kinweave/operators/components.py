@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.shared import kept
+from kinweave.shared import dropped, kept
 
 MOST_ROUNDS = 60
 
@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if before[0] == 0:
             break
-        now = kept(_small_star(_large_star(now)).distinct(), "links")
+        last, now = now, kept(_small_star(_large_star(now)).distinct(), "links")
+        dropped(last)  # what follows reads the new table only
         after = _state(now)
         if after == before:
             break

@@ -158,6 +158,12 @@ def assigned(hits: DataFrame, keys: list[str]) -> DataFrame:
     return done.select(*by, F.col("r.matched").alias("matched"), (F.col("last") + F.col("r.total")).alias("lev_total"), F.col("r.most").alias("lev_max"), "n_a", "n_b")
 
 
+def common_events(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Events that two roles of one A have in common, with both distances: (a_event, b_event, distances, n_names) of rows (a_event, b_event, distance, n)."""
+    both = one.select("a_event", "b_event", F.col("distance").alias("d1"), F.col("n").alias("n1")).join(other.select("a_event", "b_event", F.col("distance").alias("d2"), F.col("n").alias("n2")), ["a_event", "b_event"])
+    return both.select("a_event", "b_event", F.concat_ws("-", "d1", "d2").alias("distances"), F.concat_ws("-", "n1", "n2").alias("n_names"))
+
+
 def enough_names() -> Column:
     """Two names at least must match if both sides have more than one."""
     return ~((F.col("n_a") > 1) & (F.col("n_b") > 1) & (F.col("matched") < 2))

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
+    """The shared folder: spark.checkpoint.dir, or one of our own where it is unset under a local master (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -32,12 +34,21 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back; it is deleted when the program ends."""
+    """Writes df to the shared folder and reads it back; it is deleted by dropped(), or when the program ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/kinweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that kept() gave, once nothing will read them again."""
+    for df in tables:
+        if path := getattr(df, "_kept_at", None):
+            _forget(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

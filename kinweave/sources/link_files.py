@@ -6,11 +6,12 @@ A table is written in as many part files as it has partitions, each with a heade
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources import files
+
 MISSING = "N.A."
 
 #: Columns of a certificate link file, and the number each holds (fixed values).
@@ -116,14 +117,39 @@ def read_certificate_file(spark: SparkSession, path: str) -> DataFrame:
 
 def process_of(path: str) -> str:
     """The process a file name tells, or an empty string."""
-    m = _FILE.search(Path(path).name)
+    m = _FILE.search(path.rstrip("/").rsplit("/", 1)[-1])
     return "_".join(m.groups()).lower() if m else ""
 
 
-def found(folder: str) -> list[str]:
-    """Link files and folders below a folder, by path."""
-    hits = [p for p in Path(folder).rglob("*.csv") if process_of(p.name) and "part-" not in p.name]
-    return sorted(map(str, hits))
+def found(spark: SparkSession, folder: str) -> list[str]:
+    """Link files and folders below a folder, by path, on any file system; what a link folder holds is not looked at."""
+    hits = []
+    for path, is_folder in files.children(spark, folder):
+        if path.endswith(".csv") and process_of(path):
+            hits.append(path)
+        elif is_folder:
+            hits += found(spark, path)
+    return sorted(hits)
+
+
+def as_triples(links: DataFrame, namespace: str = "https://www.example.org/links/") -> DataFrame:
+    """N-Triples lines (value) of a link file's rows: a node a link, with each column that isn't missing.
+
+    Certificates are IRIs, counts whole numbers; the node is named by the certificates and the line between them.
+    """
+    columns = links.columns
+    node = F.concat(F.lit("_:l"), F.md5(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns[:5]))))
+    shown = []
+    for c in columns:
+        if c.startswith(("certificate_", "id_")):
+            term = F.concat(F.lit("<"), F.col(c), F.lit(">"))
+        elif c in ("family_line", "link", "process"):
+            term = F.concat(F.lit('"'), F.col(c), F.lit('"'))
+        else:
+            term = F.concat(F.lit('"'), F.col(c), F.lit('"^^<http://www.w3.org/2001/XMLSchema#integer>'))
+        shown.append(F.when(F.col(c) != MISSING, F.concat(node, F.lit(f" <{namespace}{c}> "), term, F.lit(" ."))))
+    kind = F.concat(node, F.lit(f" <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{namespace}Link> ."))
+    return links.select(F.explode(F.array_compact(F.array(kind, *shown))).alias("value"))
 
 
 def closure_terms(members: DataFrame) -> DataFrame:

@@ -1,25 +1,33 @@
 """SELECT queries over triples, compiled to joins, filters and groupings.
 
 Read are PREFIX, SELECT (DISTINCT, *, expressions, aggregates), groups with ; and , lists,
-OPTIONAL, FILTER with [NOT] EXISTS, UNION, MINUS, BIND, VALUES, sub-SELECT, GROUP BY,
+OPTIONAL, FILTER with [NOT] EXISTS, UNION, MINUS, BIND, VALUES, sub-SELECT, property paths, GROUP BY,
 HAVING, ORDER BY, LIMIT and OFFSET; anything else raises ValueError. Patterns that share
-no variable are an error, as they would pair all rows. Values are their lexical forms;
+no variable are an error, as they would pair all rows; so are solutions that leave every shared variable
+unbound, which only the data can show. Values are their lexical forms;
 two values compare as numbers if both read as numbers, else as texts. An unbound variable is null.
+Variables whose language, datatype or kind a query asks for carry these along.
+
+Paths of any length are followed a step a round, each written to the shared folder, until no new pair of
+ends comes up; from a fixed end only what it reaches is followed.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.shared import kept
+
 _RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*
     |(?P<iri><[^<>\s"{}|^`\\]*>)|(?P<var>[?$]\w+)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[A-Za-z-]+)
-    |(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z][\w-]*)?(?P<local>:(?:[\w-]|\\.|\.(?=\w))*)|(?P<word>[A-Za-z_]+)|(?P<op>\^\^|&&|\|\||<=|>=|!=|[{}().;,*=<>!+/-])""",
+    |(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z][\w-]*)?(?P<local>:(?:[\w-]|\\.|\.(?=\w))*)|(?P<word>[A-Za-z_]+)|(?P<op>\^\^|&&|\|\||<=|>=|!=|[{}().;,*=<>!+/^|?-])""",
     re.X,
 )
 _AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
@@ -57,6 +65,34 @@ _FUNCTIONS = {
 }
 
 
+#: Start of the columns that tell a variable's language, datatype and kind.
+_META = "_meta_"
+#: Variables that may be unbound on either side of a join, at most.
+_MOST_LOOSE = 4
+#: Rounds of a path of any length, at most.
+_MOST_STEPS = 1000
+
+
+def _meta(name: str, part: str) -> Column:
+    return F.col(f"{_META}{name}.{part}")
+
+
+def _language(name: str) -> Column:
+    return F.coalesce(_meta(name, "o_lang"), F.when(_meta(name, "o_kind") == "literal", ""))
+
+
+def _datatype(name: str) -> Column:
+    plain = F.when(_meta(name, "o_lang").isNotNull(), "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").otherwise("http://www.w3.org/2001/XMLSchema#string")
+    return F.when(_meta(name, "o_kind") == "literal", F.coalesce(_meta(name, "o_datatype"), plain))
+
+
+#: Functions of a variable that need more than its value.
+_OF_TERMS = {
+    "LANG": _language, "DATATYPE": _datatype, "ISIRI": lambda n: _meta(n, "o_kind") == "iri", "ISURI": lambda n: _meta(n, "o_kind") == "iri",
+    "ISLITERAL": lambda n: _meta(n, "o_kind") == "literal", "ISBLANK": lambda n: _meta(n, "o_kind") == "bnode",
+}
+
+
 class _Rows:
     """Solutions: a column a variable, and the variables that may be unbound."""
 
@@ -65,7 +101,7 @@ class _Rows:
 
     @property
     def names(self) -> list[str]:
-        return self.df.columns if self.df is not None else []
+        return [c for c in self.df.columns if not c.startswith(_META)] if self.df is not None else []
 
     def where(self, condition: Column, used: set[str]) -> _Rows:
         missing = sorted(used - set(self.names))
@@ -83,16 +119,12 @@ class _Rows:
             return self
         if not shared:
             raise ValueError(f"patterns share no variable: {self.names} and {other.names}")
-        loose = self.maybe | other.maybe
-        if not conditions and not (loose & set(shared)):
-            df = self.df.join(other.df, shared, how)
+        right = other.df.drop(*(c for c in self.df.columns if c.startswith(_META)))
+        loose = sorted((self.maybe | other.maybe) & set(shared))
+        if not conditions and not loose:
+            df = self.df.join(right, shared, how)
         else:
-            right = other.df.withColumnsRenamed({v: f"{v}__r" for v in shared})
-            equal = {v: F.col(v) == F.col(f"{v}__r") for v in shared}
-            on = [equal[v] | F.col(v).isNull() | F.col(f"{v}__r").isNull() if v in loose else equal[v] for v in shared]
-            df = self.df.join(right, reduce(lambda x, y: x & y, [*on, *conditions]), how)
-            if how in ("inner", "left"):
-                df = df.select(*(F.coalesce(v, f"{v}__r").alias(v) if v in shared else F.col(v) for v in self.names), *(v for v in other.names if v not in shared))
+            df = self._loosely(right, shared, loose, other.maybe, how, conditions)
         if how in ("left_semi", "left_anti"):
             return _Rows(df, self.maybe)
         fresh = set(other.names) - set(shared)
@@ -100,6 +132,52 @@ class _Rows:
         return _Rows(df, frozenset(maybe))
 
 
+    def _loosely(self, right: DataFrame, shared: list[str], loose: list[str], right_maybe: frozenset[str], how: str, conditions: tuple[Column, ...]) -> DataFrame:
+        """A join whose shared variables may be unbound: an equi-join for each way in which they are, all together."""
+        if len(loose) > _MOST_LOOSE:
+            raise ValueError(f"too many variables may be unbound: {loose}")
+        right = right.withColumnsRenamed({v: f"{v}__r" for v in shared})
+        here, there = ([v for v in loose if v in m] for m in (self.maybe, right_maybe))
+        extra = [c for c in right.columns if not c.endswith("__r") or c[:-3] not in shared]
+        mine = [F.coalesce(v, f"{v}__r").alias(v) if v in shared else F.col(v) for v in self.df.columns]
+
+        def bound(df: DataFrame, names: list[str], mask: tuple[bool, ...], end: str) -> DataFrame:
+            for v, there_is in zip(names, mask):
+                df = df.filter(F.col(v + end).isNotNull() if there_is else F.col(v + end).isNull())
+            return df
+
+        out = []
+        for mask in product((True, False), repeat=len(here)):
+            left = bound(self.df, here, mask, "")
+            free = {v for v, there_is in zip(here, mask) if not there_is}
+            alone = left
+            for other_mask in product((True, False), repeat=len(there)):
+                part = bound(right, there, other_mask, "__r")
+                on = [F.col(v) == F.col(f"{v}__r") for v in shared if v not in free and v not in {w for w, there_is in zip(there, other_mask) if not there_is}]
+                if not on:  # such rows would pair with all: none may be there
+                    zero = lambda df: F.length(F.coalesce(F.col(df.columns[0]).cast("string"), F.lit(""))) * 0
+                    pair = left.limit(1).withColumn("_zero", zero(left)).join(part.limit(1).withColumn("_zero", zero(part)), "_zero")
+                    told = F.raise_error(F.lit(f"solutions share no bound variable of {shared}"))
+                    pair = pair.withColumn(shared[0], F.when(F.col("_zero") == 0, told.cast("string")))
+                    out.append(pair.select(*mine, *extra) if how in ("inner", "left") else pair.select(*self.df.columns))
+                    continue
+                condition = reduce(lambda x, y: x & y, [*on, *conditions])
+                if how in ("inner", "left"):
+                    out.append(left.join(part, condition, "inner").select(*mine, *extra))
+                    if how == "left":
+                        alone = alone.join(part, condition, "left_anti")
+                elif how == "left_anti":
+                    alone = alone.join(part, condition, "left_anti")
+                else:
+                    out.append(left.join(part, condition, "left_semi"))
+            if how == "left":
+                out.append(alone.select(*self.df.columns, *(F.lit(None).cast(dict(right.dtypes)[c]).alias(c) for c in extra)))
+            elif how == "left_anti":
+                out.append(alone)
+        df = reduce(DataFrame.unionByName, out)
+        return df.distinct() if how == "left_semi" and there else df
+
+
 class _Reader:
     def __init__(self, triples: DataFrame, text: str):
         self.triples, self.at, self.tokens, self.prefixes = triples, 0, [], {}
@@ -114,6 +192,9 @@ class _Reader:
             elif m.lastgroup:
                 self.tokens.append((m.lastgroup, m.group()))
         self.used: set[str] = set()
+        called = lambda i: self.tokens[i][0] == "word" and str(self.tokens[i][1]).upper() in _OF_TERMS and self.tokens[i + 1][1] == "("
+        #: Variables whose terms are asked for.
+        self.termed = {str(self.tokens[i + 2][1])[1:] for i in range(len(self.tokens) - 2) if called(i) and self.tokens[i + 2][0] == "var"}
 
     # tokens
     def peek(self, *words: str) -> bool:
@@ -163,9 +244,104 @@ class _Reader:
             return "iri", _RDF_TYPE
         raise ValueError(f"no term: {value}")
 
+    # paths
+    def path(self) -> tuple[str, object]:
+        """A predicate (var or iri) or a path: a function of fixed ends to rows (s, o, o_kind, o_datatype, o_lang)."""
+        if self.kind() == "var":
+            return self.term()
+        out = self._sequence()
+        while self.take("|"):
+            first, second = self._edges(out), self._edges(self._sequence())
+            out = "path", lambda s, o, x=first, y=second: x(s, o).unionByName(y(s, o)).distinct()
+        return out
+
+    def _sequence(self) -> tuple[str, object]:
+        out = self._step()
+        while self.take("/"):
+            first, second = self._edges(out), self._edges(self._step())
+
+            def both(s, o, x=first, y=second):
+                left = x(s, None).select("s", F.col("o").alias("_m"))
+                right = y(None, o).withColumnRenamed("s", "_m")
+                return left.join(right, "_m").drop("_m")
+
+            out = "path", both
+        return out
+
+    def _step(self) -> tuple[str, object]:
+        back = self.take("^")
+        if self.take("!"):
+            names = [self.term()[1]] if not self.take("(") else self._names()
+            out = "path", lambda s, o: self._fixed(self.triples.filter(~F.col("p").isin(names)), s, o)
+        elif self.take("("):
+            out = self.path()
+            self.need(")")
+        else:
+            out = self.term()
+        if self.kind() == "op" and self.peek("+", "*", "?"):
+            mark, edges = self.next()[1], self._edges(out)
+            out = "path", lambda s, o: self._repeated(edges, mark, s, o)
+        if back:
+            edges = self._edges(out)
+            out = "path", lambda s, o: edges(o, s).select(F.col("o").alias("s"), F.col("s").alias("o"), *self._as_node("s"))
+        return out
+
+    def _names(self) -> list[str]:
+        names = [self.term()[1]]
+        while self.take("|"):
+            names.append(self.term()[1])
+        self.need(")")
+        return names
+
+    @staticmethod
+    def _as_node(column: str) -> list[Column]:
+        kind = F.when(F.col(column).startswith("_:"), "bnode").otherwise("iri")
+        return [kind.alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang")]
+
+    @staticmethod
+    def _fixed(rows: DataFrame, s: str | None, o: str | None) -> DataFrame:
+        rows = rows.filter(F.col("s") == s) if s is not None else rows
+        rows = rows.filter(F.col("o") == o) if o is not None else rows
+        return rows.select("s", "o", "o_kind", "o_datatype", "o_lang")
+
+    def _edges(self, step: tuple[str, object]):
+        kind, value = step
+        if kind == "path":
+            return value
+        return lambda s, o: self._fixed(self.triples.filter(F.col("p") == value), s, o)
+
+    def _repeated(self, edges, mark: str, s: str | None, o: str | None) -> DataFrame:
+        """Pairs of ends of any number of steps; with * and ? also every node and itself."""
+        one = edges(s, None if mark != "?" else o)
+        backwards = s is None and o is not None and mark != "?"
+        if backwards:  # from the fixed end back
+            one = edges(None, o)
+        found = one.distinct() if mark == "?" else kept(one.distinct(), "path")
+        if mark != "?":
+            steps, new = edges(None, None), found
+            for _ in range(_MOST_STEPS):
+                if backwards:
+                    next_ = steps.select("s", F.col("o").alias("_m")).join(new.withColumnRenamed("s", "_m"), "_m").drop("_m")
+                else:
+                    next_ = new.select("s", F.col("o").alias("_m")).join(steps.withColumnRenamed("s", "_m"), "_m").drop("_m")
+                new = kept(next_.select(*found.columns).distinct().join(found.select("s", "o"), ["s", "o"], "left_anti"), "path")
+                if new.isEmpty():
+                    break
+                found = found.unionByName(new)
+            else:
+                raise RuntimeError("a path did not end")
+        if mark in "*?":
+            nodes = self.triples.select(F.col("s").alias("o"), *self._as_node("s")).unionByName(self.triples.select("o", "o_kind", "o_datatype", "o_lang")).distinct()
+            nodes = nodes.filter(F.col("o") == (s if s is not None else o)) if s is not None or o is not None else nodes
+            found = found.unionByName(nodes.withColumn("s", F.col("o")).select(*found.columns)).distinct()
+        return self._fixed(found, s, o)
+
     def _pattern(self, s, p, o) -> _Rows:
         rows, out = self.triples, {}
-        for column, (kind, value) in (("s", s), ("p", p), ("o", o)):
+        if p[0] == "path":
+            ends = [x[1] if x[0] != "var" else None for x in (s, o)]
+            rows, p = p[1](*ends), None
+        for column, (kind, value) in (("s", s), ("o", o)) if p is None else (("s", s), ("p", p), ("o", o)):
             if kind != "var":
                 rows = rows.filter(F.col(column) == value)
                 if column == "o":
@@ -176,14 +352,15 @@ class _Reader:
                 out[value] = column
         if not out:
             raise ValueError("a pattern needs a variable")
-        return _Rows(rows.select(*(F.col(c).alias(v) for v, c in out.items())))
+        about = [F.struct("o_lang", "o_datatype", "o_kind") if c == "o" else F.struct(F.lit(None).cast("string").alias("o_lang"), F.lit(None).cast("string").alias("o_datatype"), F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri").alias("o_kind")) for v, c in out.items() if v in self.termed]
+        return _Rows(rows.select(*(F.col(c).alias(v) for v, c in out.items()), *(x.alias(f"{_META}{v}") for x, v in zip(about, (v for v in out if v in self.termed)))))
 
     def _triples(self, rows: _Rows) -> _Rows:
         found = []
         while self.kind() in ("var", "iri", "pname"):
             s = self.term()
             while True:
-                p = self.term()
+                p = self.path()
                 while True:
                     found.append(self._pattern(s, p, self.term()))
                     if not self.take(","):
@@ -227,11 +404,18 @@ class _Reader:
                     filters.append(self.condition())
             elif self.take("BIND"):
                 self.need("(")
-                value, _ = self.condition()
+                value, uses = self.condition()
                 self.need("AS")
                 name = self.term()[1]
                 self.need(")")
-                rows = _Rows(rows.df.withColumn(name, value.cast("string")), rows.maybe | {name})
+                if name in rows.names:
+                    raise ValueError(f"?{name} has a value already")
+                if rows.df is None:  # a value by itself
+                    if uses:
+                        raise ValueError("a value that comes first can't use variables")
+                    rows = _Rows(self.triples.sparkSession.range(1).select(value.cast("string").alias(name)), frozenset())
+                else:
+                    rows = _Rows(rows.df.withColumn(name, value.cast("string")), rows.maybe | {name})
             elif self.take("VALUES"):
                 rows = rows.join(self._values())
             elif self.peek("{"):
@@ -252,13 +436,23 @@ class _Reader:
         return rows
 
     def _values(self) -> _Rows:
-        name = self.term()[1]
+        one = not self.take("(")
+        names = []
+        while self.kind() == "var" and not (one and names):
+            names.append(self.term()[1])
+        if not one:
+            self.need(")")
         self.need("{")
         values = []
         while not self.take("}"):
-            values.append(self.term()[1])
+            if not one:
+                self.need("(")
+            values.append(tuple(None if self.take("UNDEF") else self.term()[1] for _ in names))
+            if not one:
+                self.need(")")
         spark = self.triples.sparkSession
-        return _Rows(spark.createDataFrame([(v,) for v in values], f"`{name}` string"))
+        unbound = frozenset(n for k, n in enumerate(names) if any(v[k] is None for v in values))
+        return _Rows(spark.createDataFrame(values, ", ".join(f"`{n}` string" for n in names)), unbound)
 
     # expressions
     def condition(self) -> tuple[Column, set[str]]:
@@ -337,7 +531,17 @@ class _Reader:
             return F.lit(name == "TRUE")
         if name in _AGGREGATES:
             return self.aggregate(name)
+        if name in _OF_TERMS:
+            self.need("(")
+            kind, value = self.term()
+            if kind != "var":
+                raise ValueError(f"{name} needs a variable")
+            self.need(")")
+            self.used.add(value)
+            return _OF_TERMS[name](value)
         arguments = self.arguments()
+        if name == "LANGMATCHES":
+            return F.when(arguments[1] == "*", arguments[0] != "").otherwise((F.lower(arguments[0]) == F.lower(arguments[1])) | F.lower(arguments[0]).startswith(F.concat(F.lower(arguments[1]), F.lit("-"))))
         if name == "BOUND":
             return arguments[0].isNotNull()
         if name not in _FUNCTIONS:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kinweave.operators import between, closure, couples
+from kinweave.operators import between, closure, couples, summaries
 from kinweave.sources import certificates, link_files, triples
 
 P = "struct<iri:string,given:string,family:string,gender:string,age:int>"
@@ -129,7 +129,7 @@ def test_files(spark, tmp_path):
     links = between.between(births, spark.createDataFrame([_marriage("m", 1850, ANNA, BERT)], SCHEMA), "between_b_m")
     path = link_files.write(link_files.as_certificate_file(links), link_files.place(str(tmp_path), "between_b_m", link_files.suffix()))
     assert path.endswith("/between_b-m-maxLev-4/results/BETWEEN_B-M-maxLev-4.csv")
-    assert link_files.found(str(tmp_path)) == [path] and link_files.process_of(path) == "between_b_m"
+    assert link_files.found(spark, str(tmp_path)) == [path] and link_files.process_of(path) == "between_b_m"
     assert spark.read.option("header", True).csv(path).first()["family_line"] == "N.A."
     back = link_files.read_certificate_file(spark, path)
     cols = [c for c in links.columns if c in back.columns]
@@ -154,6 +154,32 @@ def test_process_names(text):
     assert link_files.process_of(text) == "within_b_m" and link_files.title("within_b_m") == "WITHIN_B-M" and link_files.short_title("within_b_m") == "W_B-M"
 
 
+def test_summaries(spark):
+    m = spark.createDataFrame([_marriage("x", 1850, ANNA, BERT, AF, AM, BF, None), _marriage("y", 1850, ANNA, BERT, None, AM), _marriage("z", 1850, ANNA, None, AF), _marriage("u", 1850, None, BERT)], SCHEMA)
+    assert tuple(summaries.index_summary_single(m).first()) == (4, 3) and tuple(summaries.index_summary_couples(m).first()) == (4, 2)
+    assert summaries.index_summary_marriages(m).first().asDict() == {"total": 4, "indexed": 3, "mother_only": 1, "father_only": 1, "both_parents": 1, "partner": 2, "partner_mother_only": 0, "partner_father_only": 1, "partner_both_parents": 0}
+    pair = "a_event string, b_event string, link string, kind string"
+    all_of = spark.createDataFrame([("a", "b", "same_couple", "both"), ("a", "c", "same_couple", "mother"), ("a", "d", "remarriage_groom", "father")], pair)
+    kept = spark.createDataFrame([("a", "b", "same_couple", "both"), ("a", "b", "same_couple", "both"), ("a", "c", "same_couple", "mother")], pair)
+    counts = summaries.candidate_summary(all_of, kept)
+    assert tuple(counts.first()) == (3, 2, 1, 1) and {tuple(r) for r in summaries.shown(counts).collect()} == {("discovered", "3"), ("passed", "2"), ("failed", "1"), ("duplicates", "1")}
+    assert {tuple(r) for r in summaries.match_strength(all_of).collect()} == {("same_couple", "strong", 1), ("same_couple", "weak", 1), ("remarriage_groom", "weak", 1)}
+
+
+def test_activity(spark):
+    it, lines = closure.activity_lines("2020-01-01T00:00:00", "2020-01-02T00:00:00", 'me "x"', "_:")
+    members = spark.createDataFrame([("p", "c1"), ("q", "c1")], "person string, class_uuid string")
+    out = [r.value for r in closure.reconstruction(members, "_:", it).collect()] + lines
+    assert f"_:c1 <http://www.w3.org/ns/prov#wasGeneratedBy> {it} ." in out and len(out) == 4 + 6
+    assert triples.parse(spark.createDataFrame([(x,) for x in out], "value string")).count() == len(out)
+
+
+def test_first_row_of_an_event(spark):
+    births = [("e", None, ("k2", "x", "y", "m", 1), None, None), ("e", None, ("k1", "x", "y", "m", 1), None, None)]
+    df = spark.createDataFrame(births, f"event string, event_date date, subject {P}, subject_father {P}, subject_mother {P}")
+    assert closure._first(df, "subject.iri").first().iri == "k1"
+
+
 def test_closure_terms(spark):
     members = spark.createDataFrame([("b", "I-1"), ("a", "I-1"), ("c", "U-2")], "person string, class_id string")
     assert sorted(r.value for r in link_files.closure_terms(members).collect()) == ["I-1,a,b", "U-2,c"]

@@ -73,6 +73,20 @@ def test_names(spark):
     assert [tuple(r) for r in got] == [(["jan", "karel"], 1), (["jan", "karel"], 3), (["jan", "", "karel"], 3), ([], 1), (None, -1), (None, -1)]
 
 
+def test_combinations_and_durations(spark):
+    rows = spark.createDataFrame([("a b-c", "x y"), ("a", "x"), ("", "x"), (None, "x")], "g string, f string")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in rows.select(names.combinations(F.col("g"), F.col("f"))).collect()]
+    assert got[0] == [("a x_y", 1, 3), ("a_b x_y", 2, 3), ("a_b_c x_y", 3, 3), ("b x_y", 1, 3), ("b_a x_y", 2, 3), ("b_a_c x_y", 3, 3), ("c x_y", 1, 3), ("c_a x_y", 2, 3), ("c_a_b x_y", 3, 3)]
+    assert got[1:] == [[("a x", 1, 1)], None, None]
+    times = spark.createDataFrame([(0,), (3725,), (360000,)], "s long").select(names.duration(F.col("s"))).collect()
+    assert [r[0] for r in times] == ["00:00:00", "01:02:05", "100:00:00"]
+
+
+def test_common_events(spark):
+    one, other = (spark.createDataFrame(r, "a_event string, b_event string, distance int, n int") for r in ([("a", "b", 1, 2), ("a", "c", 0, 1)], [("a", "b", 3, 1)]))
+    assert [tuple(r) for r in fuzzy.common_events(one, other).collect()] == [("a", "b", "1-3", "2-1")]
+
+
 def test_year_gap(spark):
     d = datetime.date
     rows = spark.createDataFrame([(d(1856, 2, 29), d(1857, 2, 28)), (d(1857, 1, 1), d(1856, 1, 1)), (d(1857, 1, 1), d(1856, 1, 2))], "a date, b date")
