@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from kinweave.plans import branches  # noqa: F401
 from kinweave.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
