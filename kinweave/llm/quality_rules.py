@@ -3,12 +3,15 @@
 The suffixes of each text's words are sorted by doubling: suffixes that differ
 leave, the others are sorted by the rank of what follows, so most words take one
 or two rounds. The longest common prefix of neighbours in this order gives
-for each word the longest repeat that starts there; its maxima over the
-LCP intervals are the maximal repeated substrings. Their spans of at least
+for each word the longest repeat that starts there (the larger of its two neighbours: the value of the
+innermost LCP interval it lies in); these are the maximal repeated substrings. Their spans of at least
 ``least`` words are united. A text is rejected when they cover more than
 ``cover`` percent of its words, or when one repeat has more than ``longest`` words.
 
-Null and empty texts have no words and fail the base rule (under 50 words).
+Null and empty texts have no words and fail the base rule (under 50 words). A long text is a slice of
+its own, with some ten arrays of a number a word. Rows that repeat an id, or a text, are judged each by
+itself; an empty table gives no row. Columns that are passed on keep their names and places, but those named
+like a measure give way to it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ COVER_PERCENT = 30
 LONGEST = 200
 SYMBOLS = b"#*$%&|<>"
 
+_STEP = 0x9E3779B97F4A7C15
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
+
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered_words long, longest_repeat long, kept boolean"
@@ -47,7 +53,6 @@ def longest_repeats(hashes: np.ndarray, words: Words, least: int) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
     end = words.first[owner + 1]
-    levels: list[np.ndarray] = []
     suffixes = order.copy()
     place = np.arange(n)  # places in the array of the suffixes still tied
     size = 1
@@ -55,7 +60,6 @@ def longest_repeats(hashes: np.ndarray, words: Words, least: int) -> np.ndarray:
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     tied = order
     while True:
-        levels.append(rank.copy())
         alone = new & np.concatenate([new[1:], [True]])
         tied, place = tied[~alone], place[~alone]
         if not len(tied):
@@ -69,20 +73,33 @@ def longest_repeats(hashes: np.ndarray, words: Words, least: int) -> np.ndarray:
         rank[tied] = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
         size *= 2
     a, b = suffixes[:-1], suffixes[1:]
-    floor = max(k for k in range(len(levels)) if 1 << k <= least) if least >= 1 else 0
-    near = np.flatnonzero(levels[floor][a] == levels[floor][b])
+    # common prefixes of neighbours, by the hashes of word ranges: the sums take two arrays, however often the text repeats
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers_of(_STEP, n), dtype=np.uint64)])
+    back = _powers_of(_STEP_BACK, n)
+
+    def alike(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+        whole = (x + size <= end[a]) & (y + size <= end[b])
+        x, y = np.where(whole, x, 0), np.where(whole, y, 0)
+        return whole & ((sums[np.minimum(x + size, n)] - sums[x]) * back[x] == (sums[np.minimum(y + size, n)] - sums[y]) * back[y])
+
+    least = max(least, 1)
+    near = alike(a, b, least)
     a, b = a[near], b[near]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
-        same = (levels[k][x] == levels[k][y]) & (a + common < end[a]) & (b + common < end[b])
-        common[same] += 1 << k
+    common = np.full(len(a), least, np.int64)
+    for k in range(int(words.per_text.max()).bit_length() - 1, -1, -1):
+        common[alike(a + common, b + common, 1 << k)] += 1 << k
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
     out[out < least] = 0
     return out
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def covered(lengths: np.ndarray) -> np.ndarray:
     """True for words inside [i, i + lengths[i]) of some i."""
     at = np.arange(len(lengths))
