@@ -13,7 +13,11 @@ table, as is a bounded cache of whole pieces.
 Decoding feeds token bytes to an incremental UTF-8 state machine: complete
 characters leave at once, incomplete ones wait, ill-formed bytes become U+FFFD.
 
-Null and empty texts give no token and decode to the empty text.
+Null and empty texts give no token and decode to the empty text. A long text is cut into pieces by
+the pattern like any other; a piece of any length is read byte by byte, with no table that grows with
+it. Between two possible merges the lower rank goes first, then the one further left, so there are
+no ties to settle. Rows that repeat an id, or a text, are encoded each by itself; an empty table
+gives no row. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

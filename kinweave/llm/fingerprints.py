@@ -10,7 +10,10 @@ over the hashes up to the bound below which both are complete.
 Only DataFrame functions are used. Null and empty texts have no shingle, an empty
 fingerprint, and likeness 1 to each other and 0 to other texts. A text of one
 to four words has one shingle of all its words. Order: descending doc_id, null
-ids last, rows of one id by their text; equal rows count as one another's next.
+ids last, rows of one id by their text; equal rows count as one another's next. Long texts are
+sketched whole, and their sketch grows with them, by a hash for every SCALE shingles. An empty
+table gives no row. Columns other than doc_id and text are not read, whatever their names.
+Rows of one id are put in order in one task, so an id should not name a large share of the rows.
 """
 
 from __future__ import annotations
