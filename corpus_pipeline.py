@@ -14,12 +14,20 @@ from kinweave.llm.common import kept, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules.
+
+    Null and empty texts fail them, so they go. Equal documents are judged alike, rows that repeat an
+    id each by itself. All columns stay, whatever their names; an empty table stays empty.
+    """
     return quality_rules.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
+    """One document of each group of near copies: the smallest id.
+
+    Texts without a word are copies of one another; rows with a null id all stay; rows that repeat an id are
+    one document, and stay or go together. All columns stay; an empty table stays empty.
+    """
     return near_dedup.one_of_each(docs)
 
 
@@ -27,7 +35,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without bytes that an earlier document has in a string of 50.
 
     A cut may fall inside a character: its remaining bytes become U+FFFD.
-    Rows without a removal keep their text, null too; n_chars counts the new text.
+    Rows without a removal keep their text, null too; n_chars counts the new text. Rows with a null id
+    neither lose bytes nor remove any; rows that repeat an id don't remove each other's. All columns stay,
+    whatever their names, also those the work itself uses; an empty table stays empty.
     """
     marked = docs.select(*(F.col(f"`{c}`").alias(f"x{i}" if c not in ("doc_id", "text") else c) for i, c in enumerate(docs.columns)), F.col("text").alias("old_text"))
     out = suffix_dedup.remove_repeats(marked).withColumn("text", F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept_text").cast("string"))).otherwise(F.col("old_text")))
@@ -38,12 +48,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own; documents without a word are taken as often as the seeded order has it, as they
+    cost nothing. Rows equal in id and text are taken together. All columns stay, whatever their names.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text; smaller tables, as executors still hold earlier stages' heap."""
+    """Token counts and digests of ids and decoded text, a row a document; null texts have no token.
+
+    The tables are smaller than the operator's own, as executors still hold earlier stages' heap; the result is
+    the same.
+    """
     return byte_bpe.digest(docs, most_states=500_000, most_pieces=300_000)
 
 
