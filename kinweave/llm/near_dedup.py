@@ -10,7 +10,7 @@ Texts that agree in all rows of a band are candidates. Equal texts enter once. I
 bucket every text is compared with two leaders, its smallest id and its best
 connected member, so pairs grow with the members, not with their square. Where a bucket still holds
 several components afterwards, its members of different components are compared by
-their signatures in blocks inside the task, and only those whose estimate comes near the
+their signatures in blocks, the largest component's in shares that go to different tasks, and only those whose estimate comes near the
 threshold are verified, so no link between different texts is lost to the leaders.
 A pair is linked if the set or the probability Jaccard similarity of its
 shingles, computed from the texts, reaches the threshold.
@@ -45,6 +45,8 @@ COMPONENTS = 384
 #: Standard errors below the threshold at which a signature estimate still asks for verification.
 MARGIN = 5.0
 BLOCK = 512
+#: Members of a bucket for each share that it is dealt to, where it holds several components.
+SHARE_ROWS = 400
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,18 +173,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
 
 
 def _across(batches: Iterator[pa.RecordBatch], m: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a bucket whose signatures agree in a share ``least``; each from its first common bucket."""
-    for key, ids, parts, sig, bands in _buckets(batches):
-        order = np.argsort(parts, kind="stable")
-        ids, parts, sig, bands = ids[order], parts[order], sig[order], bands[order]
+    """Pairs of different components in a bucket whose signatures agree in a share ``least``; each from its first common bucket.
+
+    A share of a bucket other than its first (salt > 0) leaves pairs outside the bucket's largest component to the first.
+    """
+    for key, salt, ids, parts, minor, sig, bands in _buckets(batches):
+        order = np.lexsort((parts, minor))
+        ids, parts, minor, sig, bands = ids[order], parts[order], minor[order], sig[order], bands[order]
         for i in range(0, len(ids), BLOCK):
+            if salt and minor[i]:
+                break
             for j in range(i, len(ids), BLOCK):
-                if parts[i] == parts[min(j + BLOCK, len(ids)) - 1]:
+                if parts[i] == parts[min(j + BLOCK, len(ids)) - 1] and minor[i] == minor[min(j + BLOCK, len(ids)) - 1]:
                     continue
                 agree = np.zeros((len(ids[i : i + BLOCK]), len(ids[j : j + BLOCK])), np.int16)
                 for k in range(m):
                     agree += sig[i : i + BLOCK, k][:, None] == sig[j : j + BLOCK, k][None, :]
-                x, y = np.nonzero((agree >= least * m) & (parts[i : i + BLOCK][:, None] != parts[j : j + BLOCK][None, :]))
+                apart = parts[i : i + BLOCK][:, None] != parts[j : j + BLOCK][None, :]
+                if salt:
+                    apart &= ~(minor[i : i + BLOCK][:, None] & minor[j : j + BLOCK][None, :])
+                x, y = np.nonzero((agree >= least * m) & apart)
                 if len(x):
                     same = bands[i + x] == bands[j + y]
                     here = bands[i + x, same.argmax(1)] == key
@@ -190,27 +200,27 @@ def _across(batches: Iterator[pa.RecordBatch], m: int, least: float) -> Iterator
                     yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (key, doc_id, part, signature, bands) ordered by key, a bucket at a time."""
-    key, held = None, []
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows (key, salt, doc_id, part, minor, signature, bands) ordered by key and salt, a share of a bucket at a time."""
+    at, held = None, []
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])) + 1).tolist(), len(keys)] if len(keys) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and keys[a] != key:
-                yield key, *_joined(held)
+            if held and (keys[a], salts[a]) != at:
+                yield *at, *_joined(held)
                 held = []
-            key = keys[a]
+            at = keys[a], salts[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield key, *_joined(held)
+        yield *at, *_joined(held)
 
 
-def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     t = pa.Table.from_batches(held)
-    sig = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    bands = t.column(4).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    return t.column(1).to_numpy(), t.column(2).to_numpy(), sig, bands
+    sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    bands = t.column(6).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    return t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy(zero_copy_only=False), sig, bands
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, bands: int = BANDS, rows: int = ROWS, m: int = COMPONENTS) -> DataFrame:
@@ -239,11 +249,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, ba
     # members of one bucket in different components
     found = kept(components(first_links), "components")
     placed = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    rest = placed.join(split, "key", "left_semi").join(single.select("doc_id", "signature", "bands"), "doc_id").select("key", "doc_id", "part", "signature", "bands")
+    by_part = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    split = by_part.groupBy("key").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    # members of a bucket's largest component are dealt to shares of it, the others go to all shares
+    shares = F.ceil(F.col("n") / SHARE_ROWS).cast("int")
+    minor = F.col("part") != F.col("major")
+    salts = F.when(minor, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(F.pmod(F.hash("doc_id"), shares)))
+    dealt = placed.join(split, "key").select("key", F.explode(salts).alias("salt"), "doc_id", "part", minor.alias("minor"))
+    rest = dealt.join(single.select("doc_id", "signature", "bands"), "doc_id").select("key", "salt", "doc_id", "part", "minor", "signature", "bands")
     m = max(m, bands * rows)
     least = threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5
-    across = rest.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(partial(_across, m=m, least=least), "a long, b long").distinct()
+    across = rest.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(partial(_across, m=m, least=least), "a long, b long").distinct()
     new_pairs = kept(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = first_links.unionByName(_verified(new_pairs, texts, size, threshold))
     final = components(links).withColumnsRenamed({"node": "first_id", "component": "class_id"})
