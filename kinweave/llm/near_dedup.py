@@ -190,6 +190,8 @@ def _across(batches: Iterator[pa.RecordBatch], m: int, least: float) -> Iterator
                 for k in range(m):
                     agree += sig[i : i + BLOCK, k][:, None] == sig[j : j + BLOCK, k][None, :]
                 apart = parts[i : i + BLOCK][:, None] != parts[j : j + BLOCK][None, :]
+                if i == j:
+                    apart = np.triu(apart)  # each pair once
                 if salt:
                     apart &= ~(minor[i : i + BLOCK][:, None] & minor[j : j + BLOCK][None, :])
                 x, y = np.nonzero((agree >= least * m) & apart)
