@@ -11,8 +11,7 @@ document with a smaller doc_id. The search is exact, in four steps:
 2. By anchor, equal stretches of different documents are settled at once: all but
    those of the smallest doc_id go. Stretches that share an anchor but differ are
    passed on, one for each different text.
-3. Their bytes are read; where an anchor has very many, each string belongs to one of several
-   shares, by its hash. Strings without a partner in another document are left
+3. Their bytes are read, strings without a partner in another document are left
    out, and those left are sorted by suffix_array.suffix_array; neighbours
    with ``length`` common bytes are the matches.
 4. The spans of a document are united and cut from its bytes.
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import kept, partitions, prepare, whole
 from kinweave.llm.suffix_array import repeats_of
-from kinweave.llm.textbatch import Texts, mix, slices, string_buffers
+from kinweave.llm.textbatch import Texts, slices, string_buffers
 
 LENGTH = 50
 INNER = 20
@@ -46,8 +45,6 @@ PART_BYTES = 1 << 18
 CUT_ROWS = 500
 #: Differing stretches compared at once, if no group has more.
 SORT_ROWS = 4000
-#: Differing stretches of one anchor for each share that they are dealt to, by the hashes of their strings.
-SHARE_ROWS = 1000
 #: Bytes of differing stretches sorted together.
 SORT_BYTES = 1 << 18
 _LOW = np.uint64((1 << 28) - 1)
@@ -248,50 +245,40 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         np.maximum.at(highest, group[first], doc[first])
         open_ = ~gone & ((kinds > 1) & (lowest < highest))[group]
         g = np.uint64(bucket) << np.uint64(32) | anchor[open_].astype(np.uint64)
-        members = np.bincount(group[open_], minlength=len(kinds))[group[open_]]
-        shares = -(-members // SHARE_ROWS)
-        yield from _asked(g.astype(np.int64), doc[open_], key[open_], start[open_], more[open_], shares, length)
+        yield from _asked(g.astype(np.int64), doc[open_], key[open_], start[open_], more[open_], length)
 
 
-def _asked(group, doc, key, start, more, shares, length) -> Iterator[pa.RecordBatch]:
-    """A row for each document: packed (group, start, stop, shares of the group) of the stretches to read."""
+def _asked(group, doc, key, start, more, length) -> Iterator[pa.RecordBatch]:
+    """A row for each document: packed (group, start, stop) of the stretches to read."""
     order = np.lexsort((start, key, doc))
-    group, doc, key, start, more, shares = (x[order] for x in (group, doc, key, start, more, shares))
+    group, doc, key, start, more = (x[order] for x in (group, doc, key, start, more))
     first = np.flatnonzero(_groups(doc, key))
     ends = np.append(first[1:], len(doc))
-    packed = np.stack([group, start, start + more + length, shares], 1).astype("<i8")
+    packed = np.stack([group, start, start + more + length], 1).astype("<i8")
     for at in range(0, len(first), 5000):
         a, b = first[at : at + 5000], ends[at : at + 5000]
         yield pa.record_batch([pa.array(np.ones(len(a), np.int64)), pa.array(doc[a]), pa.array(key[a]), pa.array([packed[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())], pa.binary())], schema=_FOUND)
 
 
-_READ = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("piece", pa.binary()), ("share", pa.int64()), ("shares", pa.int64())])
+_READ = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("piece", pa.binary())])
 
 
-def _shares_of(piece: bytes, length: int, shares: int) -> list[int]:
-    """The shares of a group that a piece's strings belong to, by their hashes."""
-    at = np.arange(len(piece) - length + 1)
-    return np.unique(Texts.of([piece]).range_hash(at, at + length) % np.uint64(shares)).tolist()
-
-
-def _read(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the stretches asked for, once for each share of a large group that they have strings in."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the stretches asked for."""
     for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
         data, at = string_buffers(batch.column(2))
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for i, blobs in enumerate(batch.column(3).to_pylist()):
             text = data[at[i] : at[i + 1]].tobytes()
-            for group, start, stop, shares in np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 4).tolist():
-                piece = text[start:stop]
-                for share in (0,) if shares == 1 else _shares_of(piece, length, shares):
-                    for column, value in zip(out, (group, ids[i], keys[i], start, piece, share, shares)):
-                        column.append(value)
+            for group, start, stop in np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 3).tolist():
+                for column, value in zip(out, (group, ids[i], keys[i], start, text[start:stop])):
+                    column.append(value)
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, _READ)], schema=_READ)
 
 
 def _sorted_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 3: spans of the differing stretches that an earlier document shares. Rows come ordered by group and share."""
+    """Step 3: spans of the differing stretches that an earlier document shares. Rows come ordered by group."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -300,8 +287,8 @@ def _sorted_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         if rows < SORT_ROWS:
             continue
         table = pa.Table.from_batches(held, _READ)
-        group, share = table.column(0).to_numpy(), table.column(5).to_numpy()
-        last = np.flatnonzero((group[1:] != group[:-1]) | (share[1:] != share[:-1]))
+        group = table.column(0).to_numpy()
+        last = np.flatnonzero(group[1:] != group[:-1])
         end = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
         if end:
             yield from _matched(table.slice(0, end), length)
@@ -311,8 +298,7 @@ def _sorted_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 
 def _matched(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    group, doc, key, base, _, share, shares = (table.column(k).to_numpy() if k != 4 else None for k in range(7))
-    group = np.cumsum(_groups(group, share))  # a share of a group is a group of its own
+    group, doc, key, base = (table.column(k).to_numpy() for k in range(4))
     data, at = string_buffers(table.column(4))
     texts = Texts(data[at[0] : at[-1]], at - at[0])
     size = np.diff(texts.offsets)
@@ -320,9 +306,7 @@ def _matched(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     piece = np.repeat(np.arange(len(size)), windows)
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = texts.offsets[piece] + inner
-    code = _window_codes(texts, start, length)
-    elsewhere = code % shares[piece].astype(np.uint64) != share[piece].astype(np.uint64)
-    code = mix(code ^ group[piece].astype(np.uint64))
+    code = _window_codes(texts, start, length) ^ group[piece].astype(np.uint64)
     order = np.lexsort((doc[piece], code))
     new = _groups(code[order])
     number = np.cumsum(new) - 1
@@ -330,7 +314,6 @@ def _matched(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     last = np.append(first[1:], len(order)) - 1
     shared = np.zeros(len(piece), bool)
     shared[order] = (doc[piece[order[first]]] < doc[piece[order[last]]])[number]
-    shared &= ~elsewhere
     # maximal runs of shared strings in a piece; equal runs of a group enter the array once
     at_run = np.flatnonzero(shared & np.concatenate([[True], ~(shared[:-1] & (piece[1:] == piece[:-1]))]))
     end_run = np.flatnonzero(shared & np.concatenate([~(shared[1:] & (piece[1:] == piece[:-1])), [True]]))
@@ -415,8 +398,8 @@ def spans_of(docs: DataFrame, length: int = LENGTH, inner: int = INNER) -> DataF
     mixed = F.when(F.col("bucket") < 0, F.hash("doc_id")).otherwise(F.col("bucket"))
     found = kept(sent.repartition(n, mixed).sortWithinPartitions("bucket").mapInArrow(partial(_settle, length=length), "bucket long, doc_id long, row_key long, spans binary"), "stretches")
     asked = found.filter("bucket is not null").groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("spans"))
-    pieces = texts.join(asked, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "spans").mapInArrow(partial(_read, length=length), "bucket long, doc_id long, row_key long, start long, piece binary, share long, shares long")
-    more = pieces.repartition(n, "bucket", "share").sortWithinPartitions("bucket", "share").mapInArrow(partial(_sorted_matches, length=length), "bucket long, doc_id long, row_key long, spans binary")
+    pieces = texts.join(asked, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "spans").mapInArrow(_read, "bucket long, doc_id long, row_key long, start long, piece binary")
+    more = pieces.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_sorted_matches, length=length), "bucket long, doc_id long, row_key long, spans binary")
     return kept(found.filter("bucket is null").unionByName(more).select("doc_id", "row_key", "spans"), "spans")
 
 
