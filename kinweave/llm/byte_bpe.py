@@ -154,36 +154,45 @@ class Transducer:
     def _step(self, state: int, byte: int) -> int:
         """A new transition: the number of the next state, and above _MASK that of what is emitted."""
         key = self.keys[state]
-        data = key[3:] + _BYTES[byte]
-        ranks, prefixes, places = self.ranks, self.prefixes, self.places[state]
-        emitted = None if key[:3] == _NONE else int.from_bytes(key[:3])
+        head, data = key[:3], key[3:] + _BYTES[byte]
+        ranks, prefixes, own, pairs = self.ranks, self.prefixes, self.own, self.pairs
+        emitted = None if head == _NONE else int.from_bytes(head)
         end: tuple[int, ...] | None = None
-        open_: list[tuple[int, tuple[int, ...]]] = []
-        for k in range(0, len(places), 2):
-            i, tokens = places[k], places[k + 1]
+        open_: list = []  # places and their tokens in turn, as in a state
+        each = iter(self.places[state])
+        for i, tokens in zip(each, each):
             piece = data[i:]
             if end is None:
                 token = ranks.get(piece)
-                if token is not None and self._stands(token):
+                if token is not None and (own.get(token) or self._stands(token)):
                     before = tokens[-1] if tokens else emitted
-                    if before is None or self._may_follow(before, token):
+                    if before is None or pairs.get((before, token)) or self._may_follow(before, token):
                         end = (*tokens, token)
             if piece in prefixes:
-                open_.append((i, tokens))
+                open_ += (i, tokens)
         if end is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        first = min([*(x[1] for x in open_), end], key=len)
-        same = len(first)
-        for _, tokens in (*open_, (0, end)):
-            while tokens[:same] != first[:same]:
+        if open_ and not open_[1]:  # the bytes since may still become one token: nothing is settled
+            key = head + data
+            target = self.number.get(key)
+            if target is None:
+                if len(end) == 1:
+                    end = self.single.setdefault(end[0], end)
+                target = self._state(key, (*open_, len(data), end))
+            self.steps[state << 8 | byte] = target
+            return target
+        same = len(end)
+        for tokens in open_[1::2]:
+            while tokens[:same] != end[:same]:
                 same -= 1
-        out = first[:same]
+        out = end[:same]
         keep = sum(map(self.size.__getitem__, out))
-        key = (out[-1].to_bytes(3) if same else key[:3]) + data[keep:]
+        key = (out[-1].to_bytes(3) if same else head) + data[keep:]
         target = self.number.get(key)
         if target is None:
             flat: list = []
-            for i, tokens in (*open_, (len(data), end)):
+            open_ += (len(data), end)
+            for i, tokens in zip(open_[::2], open_[1::2]):
                 tokens = tokens[same:]
                 flat += (i - keep, self.single.setdefault(tokens[0], tokens) if len(tokens) == 1 else tokens)
             target = self._state(key, tuple(flat))
