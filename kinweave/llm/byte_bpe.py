@@ -8,7 +8,8 @@ bytes gives them back). Which tokens stay is known once all places where a token
 could still grow trace back to one place; the tokens up to it are emitted. What
 matters for what follows, the last emitted token and the bytes since, is the
 state. States and their transitions are made when first met and kept in a bounded
-table, as is a bounded cache of whole pieces.
+table, as is a bounded cache of whole pieces. A transition that emits nothing leads to
+the state whose key is one byte longer, so only those that emit are kept by themselves.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine: complete
 characters leave at once, incomplete ones wait, ill-formed bytes become U+FFFD.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 
 
 from kinweave.llm.common import prepare, whole
-from kinweave.llm.textbatch import at_change
+from kinweave.llm.textbatch import at_change, let_go
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MOST_STATES = 700_000
@@ -65,6 +66,7 @@ _MASK = (1 << _SHIFT) - 1
 _NONE = b"\xff\xff\xff"
 _START = _NONE
 _MOST_PAIRS = 1_000_000
+_MET = 1 << 21  # bytes of a table that says which hashes of pieces were met
 #: A state's key: three bytes of the last emitted token, then the bytes since. Its places: where a token that
 #: reaches further may begin, each followed by the tokens of the bytes before it; the last place is the end.
 _BYTES = [bytes([b]) for b in range(256)]
@@ -81,7 +83,8 @@ class Transducer:
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.own: dict[int, bool] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}  
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.met, self.n_met = bytearray(_MET), 0  # hashes of pieces met once
         self.single: dict[int, tuple[int, ...]] = {}
         self._restart()
 
@@ -89,12 +92,13 @@ class Transducer:
         """Empty tables but for the start state, and the state given if another; its number."""
         self.number: dict[bytes, int] = {_START: 0}
         self.keys, self.places, self.steps, self.outs, self.out_number = [_START], [(0, ())], {}, [()], {(): 0}
+        self.shared: dict[tuple, tuple] = {}  # places that states with other last tokens have, too
         return 0 if key == _START else self._state(key, places)
 
     def _state(self, key: bytes, places: tuple) -> int:
         self.number[key] = n = len(self.keys)
         self.keys.append(key)
-        self.places.append(places)
+        self.places.append(self.shared.setdefault(places, places))
         return n
 
     def _stands(self, token: int) -> bool:
@@ -179,7 +183,6 @@ class Transducer:
                 if len(end) == 1:
                     end = self.single.setdefault(end[0], end)
                 target = self._state(key, (*open_, len(data), end))
-            self.steps[state << 8 | byte] = target
             return target
         same = len(end)
         for tokens in open_[1::2]:
@@ -196,6 +199,8 @@ class Transducer:
                 tokens = tokens[same:]
                 flat += (i - keep, self.single.setdefault(tokens[0], tokens) if len(tokens) == 1 else tokens)
             target = self._state(key, tuple(flat))
+        if not same:
+            return target
         n = self.out_number.get(out)
         if n is None:
             n = self.out_number[out] = len(self.outs)
@@ -207,28 +212,41 @@ class Transducer:
         """Tokens of one match of the pattern."""
         single = self.ranks.get(data)
         if single is not None:
-            return (single,)
+            return self.single.setdefault(single, (single,))
         if len(self.keys) > self.most_states:
             self._restart()
-        state, out, get = 0, [], self.steps.get
+        state, out, get, longer, keys = 0, [], self.steps.get, self.number.get, self.keys
         for byte in data:
-            step = get(state << 8 | byte)
+            step = longer(keys[state] + _BYTES[byte])
+            if step is None:
+                step = get(state << 8 | byte)
             if step is None:
                 step = self._step(state, byte)
                 if len(self.keys) > 2 * self.most_states:  # one very long piece
                     out += self.outs[step >> _SHIFT]
                     state = step & _MASK
                     state = self._restart(self.keys[state], self.places[state])
-                    get = self.steps.get
+                    get, longer, keys = self.steps.get, self.number.get, self.keys
                     continue
             state = step & _MASK
             if step > _MASK:
                 out += self.outs[step >> _SHIFT]
         out += self.places[state][-1]
-        return tuple(out)
+        return self.single.setdefault(out[0], tuple(out)) if len(out) == 1 else tuple(out)
+
+    def _first(self, part: str) -> bool:
+        """Whether a piece was not met before, by its hash: most are met once and not worth a place."""
+        h = hash(part) & _MET - 1
+        if self.met[h]:
+            return False
+        if self.n_met >= _MET >> 2:
+            self.met, self.n_met = bytearray(_MET), 0
+        self.met[h] = 1
+        self.n_met += 1
+        return True
 
     def encode(self, text: str) -> list[int]:
-        """Tokens of text. Pieces are remembered in two tables; the older one is dropped when the newer is full."""
+        """Tokens of text. Pieces met again are remembered in two tables; the older one is dropped when the newer is full."""
         parts = self.pattern.findall(text)
         found = list(map(self.pieces.get, parts))
         at = -1
@@ -240,6 +258,9 @@ class Transducer:
                 tokens = self.older.get(part)
                 if tokens is None:
                     tokens = self.piece(part.encode())
+                    if self._first(part):
+                        found[at] = tokens
+                        continue
                 if len(part) <= 64:
                     if len(self.pieces) >= self.most_pieces:
                         self.older, self.pieces = self.pieces, {}
@@ -326,6 +347,7 @@ def coder(path: str | None, name: str, most_states: int = MOST_STATES, most_piec
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str | None, name: str, most_states: int, most_pieces: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     machine, decoder, digits = coder(path, name, most_states, most_pieces)
     at_change[:] = [coder.cache_clear]
     gc.disable()  # the tables make no cycles: no use in walking them again and again

@@ -26,6 +26,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def let_go() -> None:
+    """Drops the tables kept here and the memory Arrow holds unused: for operators with large tables of their own."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:

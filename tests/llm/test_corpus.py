@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import byte_bpe, fingerprints, html_extract, license_scan, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from kinweave.llm import byte_bpe, fingerprints, html_extract, license_scan, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, textbatch, toxicity
 from kinweave.llm.suffix_array import suffix_array
 
 RNG = random.Random(5)
@@ -129,6 +130,35 @@ def test_byte_bpe(docs):
     assert small.encode(text) == known.encode_ordinary(text)
 
 
+def test_byte_bpe_memory():
+    """The pipeline's executors hold earlier stages' heap, so the tables must be small for what they hold."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(4, 9))) for _ in range(200)) for _ in range(60)]
+    machine = byte_bpe.Transducer(ranks, public_tokenizers.PATTERN)
+    textbatch._power_table(3, 10)
+    textbatch.let_go()
+    assert not textbatch._powers
+    tracemalloc.start()
+    try:
+        for text in texts:
+            assert machine.encode(text) == known.encode_ordinary(text)
+        held = tracemalloc.get_traced_memory()[0] / len(machine.keys)
+    finally:
+        tracemalloc.stop()
+    assert held < 480  # 571 when silent steps and pieces met once were kept
+    met_once = len(machine.pieces)
+    assert met_once < 0.2 * 60 * 200
+    for _ in range(2):  # from the cache, too
+        assert [machine.encode(t) for t in texts] == [known.encode_ordinary(t) for t in texts]
+    assert len(machine.pieces) > met_once
+    assert all(step > byte_bpe._MASK for step in machine.steps.values())
+
+
 def test_near_dedup(docs):
     got = {r.doc_id: r.class_id for r in near_dedup.digest(docs).collect()}
     assert (got[1], got[2], got[3], got[4], got[None]) == (0, 0, 3, 4, None)
