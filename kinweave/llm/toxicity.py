@@ -36,6 +36,9 @@ BITS = 20
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.05
 EPOCHS = 12
 CUT = 0.5
+#: Files that take the sample's features. Without Hadoop's native library an executor starts three processes
+#: for each file it writes, and such a child has the whole memory of its JVM for a moment.
+FILES = 8
 #: Folds inside the training rows, and the farthest that the cut may move, in log-odds.
 INNER_FOLDS, MOST_SHIFT = 3, 3.0
 
@@ -124,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, bits: int =
     prepare(docs.sparkSession)
     found = sample(docs, labels, "toxic", most).mapInArrow(partial(_sampled, bits=bits), "doc_id long, label int, x binary")
     rows, size = [], 0
-    for r in kept(found, "features").orderBy(F.md5(F.col("doc_id").cast("string"))).toLocalIterator():  # ``most`` rows, MOST_BYTES
+    for r in kept(found.repartition(FILES), "features").orderBy(F.md5(F.col("doc_id").cast("string"))).toLocalIterator():  # ``most`` rows, MOST_BYTES
         size += len(r.x)
         if size > MOST_BYTES:
             break

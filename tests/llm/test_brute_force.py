@@ -361,6 +361,36 @@ def test_classifiers_of_odd_tables(spark, module, column):
     assert module.digest(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
 
 
+def test_sampled_features_go_to_few_files(spark, monkeypatch):
+    rows = [(i, ("scum " if i % 4 == 0 else "") + f"words of text {i} " + WORDS[i % 50]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    found, files = [], []
+    keep = toxicity.kept
+
+    def counted(df, name):
+        out = keep(df, name)
+        files.append(len(out.inputFiles()))
+        found.append(sorted((r.doc_id, r.label, bytes(r.x)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(toxicity, "kept", counted)
+    settings = {"spark.sql.shuffle.partitions": ("2", "60"), "spark.sql.adaptive.coalescePartitions.enabled": ("true", "false")}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        models = []
+        for run in range(2):
+            for k, v in settings.items():
+                spark.conf.set(k, v[run])
+            models.append(toxicity.train(docs, labels))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files) <= toxicity.FILES < 60
+    assert found[0] == found[1] and len(found[0]) > 250
+    assert all((a == b).all() if hasattr(a, "all") else a == b for a, b in zip(*models))
+
+
 def test_held_out_labels_are_not_learnt(spark):
     rows = [(i, "same words in all texts " + WORDS[i % 50]) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
