@@ -45,7 +45,7 @@ def between(a: DataFrame, b: DataFrame, process: str, most: int = 4, fixed: bool
     pa, cb = parents_a(a, two), couples_b(b)
     search = fuzzy.Search(_people(pa, {"male": "father", "female": "mother"}, "code"), _people(cb, {"male": "male", "female": "female"}), most, fixed, block, same=("sex",))
     backwards = process in _BACKWARDS
-    hits = fuzzy.assigned(search.hits(None if ignore_date else rules.span(process, backwards, rule_set)), ["code", "sex"]).filter(fuzzy.enough_names())
+    hits = fuzzy.assigned(search.joint_hits([("male", "female")], None if ignore_date else rules.span(process, backwards, rule_set)), ["code", "sex"]).filter(fuzzy.enough_names())
     one = lambda sex: F.max(F.when(F.col("sex") == sex, F.struct(*_NUMBERS))).alias(sex)
     links = hits.groupBy("code", "a_event", "b_event").agg(one("male"), one("female")).filter("male is not null and female is not null")
     links = links.select("code", "a_event", "b_event", *(F.col(f"{sex}.{c}").alias(f"{sex}_{c}") for sex in ("male", "female") for c in _NUMBERS))

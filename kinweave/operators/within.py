@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import names, rules
 from kinweave.operators import fuzzy
+from kinweave.shared import kept
 
 
 def turned(b: DataFrame, gender: str) -> DataFrame:
@@ -44,7 +45,8 @@ def within(a: DataFrame, b: DataFrame, process: str, gender: str, most: int = 4,
         b = b.filter(_valid("subject_mother") | _valid("subject_father"))
     roles = {"s": "subject"} | ({"m": "subject_mother", "f": "subject_father"} if relatives else {})
     search = fuzzy.Search(_people(a, roles), _people(b, roles), most, fixed, block, same=("role",))
-    hits = fuzzy.assigned(search.hits(None if ignore_date else rules.span(process, False, rule_set)), ["role"])
+    span = None if ignore_date else rules.span(process, False, rule_set)
+    hits = fuzzy.assigned(search.joint_hits([("s", "m"), ("s", "f")], span) if relatives else search.hits(span), ["role"])
     numbers = ("lev_total", "lev_max", "matched", "n_a", "n_b")
     one = lambda r: F.max(F.when(F.col("role") == r, F.struct(*numbers))).alias(r)
     rows = hits.groupBy("a_event", "b_event").agg(*map(one, roles)).filter("s is not null")
@@ -53,16 +55,15 @@ def within(a: DataFrame, b: DataFrame, process: str, gender: str, most: int = 4,
     about_b = b.select(F.col("event").alias("b_event"), F.col("event_date").alias("b_date"), _valid("subject_mother").alias("has_m"), _valid("subject_father").alias("has_f"), F.col("subject.age").alias("b_age"), F.col("subject_mother.age").alias("b_mother_age"))
     rows = rows.join(about_a, "a_event").join(about_b, "b_event")
     if relatives:
-        known = search.found(["role"]).groupBy("a_event").agg(*(F.max(F.col("role") == r).alias(f"any_{r}") for r in "mf"))  # in any year
-        rows = rows.join(known, "a_event", "left")
-        any_m, any_f = F.col("vm") & F.coalesce("any_m", F.lit(False)), F.col("vf") & F.coalesce("any_f", F.lit(False))
         in_m, in_f = F.col("m_matched").isNotNull(), F.col("f_matched").isNotNull()
-        in_s1 = ~any_m | in_m
-        in_s2 = in_s1 & (~any_f | in_f)
+        rows = kept(rows, "within")
+        unsure = rows.filter(in_f & ~in_m & F.col("vm") & ~F.col("has_m")).select("a_event", F.lit("m").alias("role"))  # what is matched was found
+        rows = rows.join(search.found(["role"], unsure).select("a_event", F.lit(True).alias("any_m")), "a_event", "left")  # in any year
+        no_m = ~(F.col("vm") & F.coalesce("any_m", F.lit(False)))
         kinds = F.array(
-            F.when(any_m & in_m & ~(F.col("vf") & F.col("has_f")), F.lit("mother")),
-            F.when(any_f & in_f & in_s2 & ~(F.col("vm") & F.col("has_m")), F.lit("father")),
-            F.when(any_m & any_f & in_m & in_f & in_s2, F.lit("both")),
+            F.when(in_m & ~(F.col("vf") & F.col("has_f")), F.lit("mother")),
+            F.when(in_f & (in_m | no_m) & ~(F.col("vm") & F.col("has_m")), F.lit("father")),
+            F.when(in_m & in_f, F.lit("both")),
         )
         rows = rows.withColumn("kind", F.explode(F.array_compact(kinds)))
     else:
