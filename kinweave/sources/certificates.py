@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import names
+from kinweave.shared import kept
 
 #: Vocabularies of the records (fixed values).
 CIV, SCHEMA = "https://iisg.amsterdam/id/civ/", "https://schema.org/"
@@ -49,6 +50,10 @@ class Model:
     #: Whether spouses must be named.
     named_spouses: bool = False
 
+    def needed(self, kind: str) -> list[str]:
+        """The predicates that certificates of a kind are made of."""
+        return [self.date, self.given, self.family, self.gender, self.age, *(p for _, p, _ in self.roles[kind])]
+
     def people(self, triples: DataFrame) -> DataFrame:
         """(s, p, o): the values of given, family, gender and age of people."""
         return triples.filter(F.col("p").isin(self.given, self.family, self.gender, self.age)).select("s", "p", "o")
@@ -75,6 +80,10 @@ class PersonsInContext(Model):
     #: Source type and role of the people a certificate is about (fixed values).
     ABOUT = {"births": ("551", "575"), "deaths": ("553", "479"), "marriages": ("552", "574")}
 
+    def needed(self, kind: str) -> list[str]:
+        names_by = [f"{SCHEMA}additionalName", f"{PNV}givenName", f"{PNV}baseSurname"] if self.pnv else [self.given, self.family]
+        return [self.date, self.gender, self.age, *names_by, f"{SCHEMA}additionalType", f"{PICOM}hasRole", f"{PROV}hadPrimarySource", f"{SCHEMA}spouse", f"{SCHEMA}parent"]
+
     def people(self, triples: DataFrame) -> DataFrame:
         if not self.pnv:
             return super().people(triples)
@@ -128,6 +137,7 @@ def certificates(triples: DataFrame, kind: str, model: Model = Model()) -> DataF
     a role nobody has, is null. A date that is no ISO day is null. Partners of the
     deceased carry no age.
     """
+    triples = kept(triples.filter(F.col("p").isin(model.needed(kind))).select("s", "p", "o"), "statements")  # made or parsed once for all that is asked
     needed = ("subject", "partner") if kind == "marriages" else ("subject",)
     roles = ("subject", *RELATIVES[kind])
     held = model.edges(triples, kind).join(people(triples, model), "iri", "left").withColumn("person", F.coalesce("person", F.struct("iri", *(F.lit(None).cast(t).alias(c) for c, t in (("given", "string"), ("family", "string"), ("gender", "string"), ("age", "int")))).cast(PERSON)))

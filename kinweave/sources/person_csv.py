@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.shared import partitions
 from kinweave.sources import csvw
 from kinweave.sources.certificates import CIV, PICOM, PICOT, PNV, PROV, SCHEMA
 from kinweave.sources.triples import COLUMNS
@@ -76,6 +77,11 @@ def _said(rows: DataFrame, found: list[tuple]) -> DataFrame:
     return out.select("s", "p", "o", "o_kind", "o_datatype", F.lit(None).cast("string").alias("o_lang"), F.lit(None).cast("string").alias("g")).select(*COLUMNS)
 
 
+def _once(triples: DataFrame) -> DataFrame:
+    """Each triple once. They are dealt first: what a task holds then depends on the number of partitions, not on how few tasks read the rows."""
+    return triples.repartition(partitions(triples.sparkSession), "s", "p", "o").distinct()
+
+
 def _parts(namespace: str) -> dict[str, Column]:
     """IRIs and derived values of a row; what depends on a missing part is null."""
     person = F.concat(F.lit(f"{namespace}person/p-"), F.col("person"))
@@ -110,7 +116,7 @@ def triples(rows: DataFrame, namespace: str = "http://example.org/") -> DataFram
         (event, F.lit(f"{CIV}eventDate"), *_literal(x["date"], "date")),
         (event, F.concat(F.lit(CIV), F.col("role")), *_iri(person)),
     ]
-    return _said(rows, found).distinct()
+    return _once(_said(rows, found))
 
 
 def pico_triples(rows: DataFrame, namespace: str = "http://example.org/", parents_as_spouses: bool = True) -> DataFrame:
@@ -143,7 +149,7 @@ def pico_triples(rows: DataFrame, namespace: str = "http://example.org/", parent
         (placed, F.lit(f"{SCHEMA}additionalType"), *_iri(F.concat(F.lit(f"{PICOT}sourcetypes/"), _coded({k: v[1] for k, v in KINDS.items()})))),
         (placed, F.lit(f"{SCHEMA}dateCreated"), *_literal(x["date"], "date")),
     ]
-    return _said(rows, found).unionByName(_relations(rows, person, placed, parents_as_spouses)).distinct()
+    return _once(_said(rows, found).unionByName(_relations(rows, person, placed, parents_as_spouses)))
 
 
 def _relations(rows: DataFrame, person: Column, event: Column, parents_as_spouses: bool) -> DataFrame:
